@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, exact_dedup, mixing
+from tidemark.llm import decontaminate, exact_dedup, html_extract, langid, mixing, quality, sampling, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -74,9 +74,64 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held = sampling.crc_part("doc_id", 4) == 2
+    model = langid.train(docs.filter(~held))
+    found = langid.identify(docs.select("doc_id", "text"), model, out="l", keep=["doc_id"])
+    return found.select("doc_id", held.alias("held_out"), F.col("l.lang_pred").alias("lang_pred"), F.col("l.score").alias("score"))
+
+
+def op5_extract_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(_table(spark, sf_dir, "pages"))
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    held = sampling.crc_part("doc_id", 3) == 1
+    forest = quality.train(docs, _table(spark, sf_dir, "labels").filter(~held).select("doc_id", "quality"))
+    found = quality.score(docs, forest, out="q", keep=["doc_id"])
+    score = F.col("q.score")
+    return found.select("doc_id", held.alias("held_out"), score.alias("score"), F.when(score >= 0.5, 1).otherwise(0).alias("predicted"))
+
+
+URL_RULES = [
+    url_filter.Rule("allow", "com", "/"),
+    url_filter.Rule("block", "example.com", "/en/"),
+    url_filter.Rule("allow", "www.example.com", "/en/"),
+    url_filter.Rule("block", "net", "/es/"),
+    url_filter.Rule("block", "net", "/fr/"),
+]
+
+
+def op9_filter_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url")
+    found = url_filter.judge(pages, URL_RULES, out="f", keep=["page_id"])
+    return found.select("page_id", *(F.col(f"f.{c}").alias(c) for c in ("host", "path", "rule", "verdict")))
+
+
+OP9_SQL = f"""
+WITH rest AS (
+  SELECT page_id, CASE WHEN url LIKE '%://%' THEN substr(url, instr(url, '://') + 3) ELSE '' END AS r FROM pages
+), parts AS (
+  SELECT page_id, {_FOLD.format("regexp_extract(r, '^[^/?#]*')")} AS host, regexp_extract(r, '^[^/?#]*([^?#]*)', 1) AS path FROM rest
+), rules(verdict, h, p) AS (
+  VALUES {", ".join(f"('{r.verdict}', '{r.host}', '{r.path}')" for r in URL_RULES)}
+), fits AS (
+  SELECT page_id, h || p AS rule, verdict, row_number() OVER (PARTITION BY page_id ORDER BY length(h || p) DESC, h || p) AS n
+  FROM parts JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)
+)
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM parts LEFT JOIN (SELECT * FROM fits WHERE n = 1) f USING (page_id)
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_language_id": op3_language_id,
     "op4_mix_sources": op4_mix_sources,
+    "op5_extract_html": op5_extract_html,
+    "op6_quality": op6_quality,
+    "op9_filter_urls": op9_filter_urls,
 }
-SQL: dict[str, str] = {"op1_decontaminate": OP1_SQL, "op2_exact_dedup": OP2_SQL}
+SQL: dict[str, str] = {"op1_decontaminate": OP1_SQL, "op2_exact_dedup": OP2_SQL, "op9_filter_urls": OP9_SQL}

@@ -136,8 +136,9 @@ def gram_hashes(words: np.ndarray, n: int) -> np.ndarray:
         return mix(h)
 
 
-def map_text(df: DataFrame, column: str, out: str, kind: T.StructType, make: Callable[[], Callable[[pa.Array], pa.Array]], keep: list[str] | None = None) -> DataFrame:
+def map_text(df: DataFrame, column: str, out: str, kind: T.StructType | str, make: Callable[[], Callable[[pa.Array], pa.Array]], keep: list[str] | None = None) -> DataFrame:
     """Append struct column `out`, made from text column `column` by `make()`, one call a partition; `keep` names the columns to return (all)."""
+    kind = T.StructType.fromDDL(kind) if isinstance(kind, str) else kind
     keep = list(df.columns) if keep is None else keep
     fields = [f for f in df.schema.fields if f.name in keep]
     at = df.columns.index(column)
