@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, exact_dedup, html_extract, langid, mixing, quality, sampling, url_filter
+from tidemark.llm import decontaminate, exact_dedup, html_extract, langid, mixing, quality, sampling, secrets, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -125,6 +125,25 @@ SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM par
 """
 
 
+def op10_find_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = secrets.scan(docs, secrets.train(docs), out="s", keep=["doc_id"])
+
+    def listed(spans: F.Column) -> F.Column:
+        ranked = F.transform(spans, lambda x: F.struct(x["start"], F.array_position(F.array(*map(F.lit, secrets.KINDS)), x["kind"]).alias("k"), x["end"], x["kind"]))
+        return F.array_join(F.transform(F.array_sort(ranked), lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
+
+    def count(kind: str) -> F.Column:
+        return F.size(F.filter("s.base", lambda x: x["kind"] == kind)).cast("long")
+
+    return found.select(
+        "doc_id",
+        *(count(k).alias(f"n_{k}") for k in secrets.KINDS[:3]),
+        F.sha2(listed(F.col("s.base")), 256).alias("base_sha256"),
+        listed(F.concat("s.base", "s.added")).alias("spans"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_exact_dedup": op2_exact_dedup,
@@ -133,5 +152,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_extract_html": op5_extract_html,
     "op6_quality": op6_quality,
     "op9_filter_urls": op9_filter_urls,
+    "op10_find_secrets": op10_find_secrets,
 }
 SQL: dict[str, str] = {"op1_decontaminate": OP1_SQL, "op2_exact_dedup": OP2_SQL, "op9_filter_urls": OP9_SQL}
