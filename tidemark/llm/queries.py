@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, exact_dedup, html_extract, langid, mixing, ngram_join, quality, sampling, secrets, url_filter
+from tidemark.llm import decontaminate, exact_dedup, html_extract, langid, mixing, ngram_join, quality, sampling, secrets, suffix_dedup, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -171,6 +171,11 @@ FROM w LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT doc_id, min(r) AS component_
 """
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.repeated_spans(_table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_exact_dedup": op2_exact_dedup,
@@ -179,6 +184,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_extract_html": op5_extract_html,
     "op6_quality": op6_quality,
     "op7_ngram_join": op7_ngram_join,
+    "op8_suffix_dedup": op8_suffix_dedup,
     "op9_filter_urls": op9_filter_urls,
     "op10_find_secrets": op10_find_secrets,
 }
