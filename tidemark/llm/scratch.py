@@ -22,27 +22,32 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def table(df: DataFrame, tag: str, partition_by: str | None = None) -> DataFrame:
-    """Write `df` as Parquet below the shared folder and read it back: lineage ends here and a lost executor costs no recomputation.
+def write(df: DataFrame, tag: str) -> str:
+    """Write `df` as Parquet below the shared folder; the caller owns the returned path."""
+    path = f"{shared_dir(df.sparkSession)}/tidemark-{uuid.uuid4().hex}-{tag}"
+    df.write.parquet(path)
+    return path
 
-    The files live until `clear` is called or the folder's owner removes them, because the returned frame reads them lazily.
+
+def delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def table(df: DataFrame, tag: str) -> DataFrame:
+    """Write `df` and read it back: lineage ends here and a lost executor costs no recomputation.
+
+    The files live until `clear` is called or the folder's owner removes them, since the returned frame reads them lazily.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tidemark-{uuid.uuid4().hex}-{tag}"
-    writer = df.write
-    if partition_by:
-        writer = writer.partitionBy(partition_by)
-    writer.parquet(path)
-    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    path = write(df, tag)
+    _written.setdefault(df.sparkSession.sparkContext.applicationId, []).append(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def clear(spark: SparkSession) -> None:
-    """Delete every table this session wrote. Frames that still read one of them fail afterwards."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    """Delete every table that `table` wrote in this session. Frames that still read one of them fail afterwards."""
     for path in _written.pop(spark.sparkContext.applicationId, []):
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(conf).delete(at, True)
+        delete(spark, path)
 
 
 def free_name(df: DataFrame, wanted: str) -> str:
