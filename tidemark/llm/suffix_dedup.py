@@ -43,6 +43,13 @@ class Prefix:
         with np.errstate(over="ignore"):
             return (self.total[end] - self.total[start]) * self.back[start]
 
+    def grams(self, n: int) -> np.ndarray:
+        """Hashes of all substrings of n bytes."""
+        with np.errstate(over="ignore"):
+            out = self.total[n:] - self.total[:-n]
+            out *= self.back[: len(out)]
+        return out
+
     def common(self, a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
         """Length of the common extension of the suffixes at a and b, `most` at the most, by binary search on hashes."""
         lo, hi = np.zeros(len(a), np.int64), np.full(len(a), most)
@@ -147,13 +154,15 @@ def _by_bytes(data: np.ndarray, start: np.ndarray, segment: np.ndarray, ids: np.
 
 
 def anchor_runs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(text, first window, number of windows, anchor hash) of the maximal runs of windows with one anchor; windows by first byte."""
+    """(text, first window, number of windows, anchor hash) of the maximal runs of windows with one anchor; windows by first byte.
+
+    The least hash of a window is a small number, so it is mixed before it names a bucket.
+    """
     n = len(data) - LENGTH + 1
     none = np.zeros(0, np.int64)
     if n <= 0:
         return none, none, none, none.astype(np.uint64)
-    at = np.arange(len(data) - ANCHOR + 1)
-    h = mix(Prefix(data).of(at, at + ANCHOR))
+    h = Prefix(data).grams(ANCHOR)
     width = LENGTH - ANCHOR + 1
     padded = np.concatenate([h, np.full(-len(h) % width, ~np.uint64(0))]).reshape(-1, width)
     ahead = np.minimum.accumulate(padded, 1).ravel()
@@ -166,7 +175,7 @@ def anchor_runs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     new &= inside
     first = np.flatnonzero(new)
     ends = np.flatnonzero(inside & np.r_[new[1:] | ~inside[1:], True]) + 1
-    return doc[first], first, ends - first, least[first]
+    return doc[first], first, ends - first, mix(least[first])
 
 
 def _anchors(table: pa.Table, layout: blocks.Layout) -> pa.Table:
@@ -181,94 +190,142 @@ def _anchors(table: pa.Table, layout: blocks.Layout) -> pa.Table:
     return blocks.token_rows(table.column("block")[0].as_py(), tokens, counts, layout)
 
 
-_CONTEXT = "bucket long, payload binary"
+#: Buckets of contexts are finer than those of anchors by this power of two.
+FINER = 2
+#: Windows that one suffix sort handles (more only where one anchor has more).
+SORT_WINDOWS = 1 << 18
+
+
+def _classes(data: np.ndarray, begin: np.ndarray, windows: np.ndarray, anchor: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Order of contexts by (anchor, content, id), for each place in it the context of smallest id with equal bytes, and whether that
+    is itself. Hashes name the classes and bytes confirm them; a context whose bytes differ is a class of its own."""
+    size = windows + LENGTH - 1
+    content = span_hashes(data, begin, begin + size)
+    order = np.lexsort((ids, content, windows, anchor))
+    new = np.ones(len(order), bool)
+    a, w, c = anchor[order], windows[order], content[order]
+    new[1:] = (a[1:] != a[:-1]) | (w[1:] != w[:-1]) | (c[1:] != c[:-1])
+    head = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
+    other = np.flatnonzero(head != order)
+    for k in range(0, len(other), 1 << 12):
+        rows, reps = order[other[k : k + (1 << 12)]], head[other[k : k + (1 << 12)]]
+        n = size[rows]
+        first = np.r_[0, np.cumsum(n)[:-1]]
+        inner = np.arange(n.sum()) - np.repeat(first, n)
+        wrong = data[np.repeat(begin[rows], n) + inner] != data[np.repeat(begin[reps], n) + inner]
+        differ = np.add.reduceat(wrong, first) > 0
+        head[other[k : k + (1 << 12)][differ]] = rows[differ]
+    return order, head, head == order
+
+
+def _ranges(block: np.ndarray, key: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[tuple[int, bytes]]:
+    by = np.argsort(block, kind="stable")
+    at = np.flatnonzero(np.r_[True, np.diff(block[by]) > 0]) if len(by) else np.zeros(0, np.int64)
+    return [(int(block[by[i]]), blocks.pack(*(x[by[i:j]].astype(np.int64) for x in (key, start, end)), compress=True)) for i, j in zip(at.tolist(), np.r_[at[1:], len(by)].tolist(), strict=True)]
 
 
 def _contexts(left: pa.Table, right: pa.Table, layout: blocks.Layout) -> pa.Table:
-    """The bytes around each anchor that several texts have, with the text's key and id, by bucket."""
+    """The bytes around each anchor that several texts have, with the text's key and id, by bucket.
+
+    Of equal contexts in the block the one of smallest id goes out. The others repeat it as a whole, which the block says itself, in
+    a row of the negative bucket -1 - block that comes back as it is.
+    """
     known, counts = blocks.replies(right, layout)
     keys, ids, texts = blocks.texts_of(left)
     data, offsets = buffers(texts)
     doc, first, windows, anchor = anchor_runs(data, offsets)
-    token = layout.ident(anchor)
-    hit = np.flatnonzero(blocks.lookup(token, known, counts) > 1)
-    hit = hit[np.argsort(token[hit], kind="stable")]
-    bucket = layout.bucket(token[hit])
-    at = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(hit) else np.zeros(0, np.int64)
-    rows = []
-    for a, b in zip(at.tolist(), np.r_[at[1:], len(hit)].tolist(), strict=True):
-        x = hit[a:b]
+    hit = np.flatnonzero(blocks.lookup(layout.ident(anchor), known, counts) > 1)
+    doc, first, windows, anchor = doc[hit], first[hit], windows[hit], anchor[hit]
+    order, head, is_head = _classes(data, first, windows, anchor, ids[doc])
+    again = order[~is_head & (ids[doc[order]] > ids[doc[head]])]
+    goes = np.ones(len(doc), bool)
+    goes[again] = False
+    rows: list[tuple[int, bytes]] = []
+    if len(again):
+        start = first[again] - offsets[doc[again]]
+        home = left.column("block")[0].as_py()
+        rows += [(-1 - home, x) for _, x in _ranges(np.zeros(len(again), np.int64), keys[doc[again]], start, start + windows[again] + LENGTH - 1)]
+    x_all = order[goes[order]]
+    bucket = (anchor[x_all] >> np.uint64(64 - layout.bits - FINER)).astype(np.int64)
+    at = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(bucket) else np.zeros(0, np.int64)
+    for a, b in zip(at.tolist(), np.r_[at[1:], len(bucket)].tolist(), strict=True):
+        x = x_all[a:b]
         size = windows[x] + LENGTH - 1
         index = np.repeat(first[x] - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(size.sum())
-        rows.append(blocks.pack(anchor[x], keys[doc[x]], ids[doc[x]], first[x] - offsets[doc[x]], windows[x], data[index], compress=True))
-    return pa.table({"bucket": pa.array(bucket[at].tolist(), pa.int64()), "payload": pa.array(rows, pa.binary())})
+        rows.append((int(bucket[a]), blocks.pack(anchor[x], keys[doc[x]], ids[doc[x]], first[x] - offsets[doc[x]], windows[x], data[index], compress=True)))
+    return pa.table({"bucket": pa.array([r[0] for r in rows], pa.int64()), "payload": pa.array([r[1] for r in rows], pa.binary())})
+
+
+def _window_rows(anchor: np.ndarray, windows: np.ndarray, rows: np.ndarray) -> Iterator[np.ndarray]:
+    """`rows` (in order of anchor) in parts of about SORT_WINDOWS windows that split no anchor."""
+    total = np.cumsum(windows[rows])
+    cuts = np.flatnonzero(np.r_[anchor[rows[1:]] != anchor[rows[:-1]], True]) + 1 if len(rows) else np.zeros(0, np.int64)
+    at, used = 0, 0
+    for cut in cuts.tolist():
+        if total[cut - 1] - used >= SORT_WINDOWS or cut == len(rows):
+            yield rows[at:cut]
+            at, used = cut, total[cut - 1]
+
+
+def _again(data: np.ndarray, begin: np.ndarray, windows: np.ndarray, anchor: np.ndarray, ids: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, first, last): runs of windows of `rows` that a row of smaller id has too.
+
+    Windows of one anchor are equal only if it stands at the same place in them, so (anchor, place) are segments of the suffix sort.
+    """
+    size = windows[rows] + LENGTH - 1
+    at = np.r_[0, np.cumsum(size)[:-1]]
+    local = data[np.repeat(begin[rows] - at, size) + np.arange(size.sum())]
+    n = windows[rows]
+    owner = np.repeat(np.arange(len(rows)), n)
+    step = np.arange(len(owner)) - np.repeat(np.r_[0, np.cumsum(n)[:-1]], n)
+    start = at[owner] + step
+    its = mix(Prefix(local).grams(ANCHOR)) == np.repeat(anchor[rows], size)[: len(local) - ANCHOR + 1]
+    grams = np.arange(len(its))
+    following = np.minimum.accumulate(np.where(its, grams, len(local))[::-1])[::-1]
+    place = following[start] - start
+    group = np.cumsum(np.r_[False, anchor[rows[1:]] != anchor[rows[:-1]]])
+    order = np.lexsort((place, group[owner]))
+    g, p = group[owner][order], place[order]
+    segment = np.cumsum(np.r_[False, (g[1:] != g[:-1]) | (p[1:] != p[:-1])])
+    repeated = np.zeros(len(start), bool)
+    repeated[order] = repeated_windows(local, start[order], segment, ids[rows][owner[order]])
+    hit = np.flatnonzero(repeated)
+    if not len(hit):
+        return hit, hit, hit
+    opens = np.r_[True, (np.diff(hit) > 1) | (owner[hit[1:]] != owner[hit[:-1]])]
+    lo, hi = hit[opens], hit[np.r_[np.flatnonzero(opens)[1:] - 1, len(hit) - 1]]
+    return rows[owner[lo]], step[lo], step[hi]
 
 
 def _repeats(table: pa.Table, layout: blocks.Layout) -> pa.Table:
     """(block, payload): for each text with windows that a text of a smaller id has, its key and those windows' byte ranges.
 
-    Equal contexts are one class, whose smallest id decides for the others. Between different contexts of one anchor, windows are
-    equal only if the anchor stands at the same place in them, so (anchor, place) are the segments of the suffix sort.
+    Equal contexts are one class, whose smallest id decides for the others; the contexts that are left are compared window by
+    window where their anchor has different ones.
     """
+    bucket = table.column("bucket")[0].as_py()
+    if bucket < 0:
+        return pa.table({"block": pa.array([-1 - bucket] * table.num_rows, pa.int64()), "payload": table.column("payload").combine_chunks()})
     parts = [blocks.unpack(x.as_py()) for x in table.column("payload")]
     anchor, keys, ids, place, windows, data = (np.concatenate([p[i] for p in parts]) for i in range(6))
+    del parts
     size = windows + LENGTH - 1
     begin = np.r_[0, np.cumsum(size)[:-1]]
-    content = span_hashes(data, begin, begin + size)
-    order = np.lexsort((ids, content, windows, anchor))
-    new = np.ones(len(order), bool)
-    a, w, c = anchor[order], windows[order], content[order]
-    new[1:] = (a[1:] != a[:-1]) | (w[1:] != w[:-1]) | (c[1:] != c[:-1])
-    head = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]  # the row of smallest id in each class
-    differ = np.zeros(len(order), bool)
-    other = np.flatnonzero(head != order)
-    for k in range(0, len(other), 1 << 14):  # verify that the class really has equal bytes
-        rows, reps = order[other[k : k + (1 << 14)]], head[other[k : k + (1 << 14)]]
-        n = size[rows]
-        inner = np.arange(n.sum()) - np.repeat(np.r_[0, np.cumsum(n)[:-1]], n)
-        wrong = data[np.repeat(begin[rows], n) + inner] != data[np.repeat(begin[reps], n) + inner]
-        differ[other[k : k + (1 << 14)]] = np.add.reduceat(wrong, np.r_[0, np.cumsum(n)[:-1]]) > 0
-    alone = new | differ
-    whole = np.zeros(len(order), bool)
-    whole[order] = ~alone & (ids[order] > ids[head])
-    # Texts of the smallest id of a class are compared window by window where the anchor has another class too.
-    group_new = np.r_[True, a[1:] != a[:-1]]
-    classes = np.bincount(np.cumsum(group_new) - 1, weights=alone)
-    several = np.repeat(classes > 1, np.diff(np.r_[np.flatnonzero(group_new), len(order)]))
-    rows = order[several & (alone | ~whole[order])]
-    rows = np.sort(rows)
-    owner = np.repeat(rows, windows[rows])
-    step = np.arange(len(owner)) - np.repeat(np.r_[0, np.cumsum(windows[rows])[:-1]], windows[rows]) if len(rows) else owner
-    start = begin[owner] + step
-    if len(start):
-        prefix = Prefix(data)
-        at = np.arange(len(data) - ANCHOR + 1)
-        its = mix(prefix.of(at, at + ANCHOR)) == anchor[np.minimum(np.searchsorted(begin, at, "right") - 1, len(begin) - 1)]
-        following = np.minimum.accumulate(np.where(its, at, len(data))[::-1])[::-1]
-        shift = following[start] - start
-        order2 = np.lexsort((start, shift, anchor[owner]))
-        s_anchor, s_shift = anchor[owner][order2], shift[order2]
-        segment = np.cumsum(np.r_[False, (s_anchor[1:] != s_anchor[:-1]) | (s_shift[1:] != s_shift[:-1])])
-        found = repeated_windows(data, start[order2], segment, ids[owner][order2])
-        again = np.zeros(len(start), bool)
-        again[order2] = found
-    else:
-        again = np.zeros(0, bool)
-    # Byte ranges in the texts: all windows of `whole` rows, runs of repeated windows of the others.
-    w_rows = np.flatnonzero(whole)
-    hit = np.flatnonzero(again)
-    brk = np.ones(len(hit), bool)
-    brk[1:] = (np.diff(hit) > 1) | (owner[hit[1:]] != owner[hit[:-1]]) if len(hit) else False
-    lo = hit[brk]
-    hi = hit[np.r_[np.flatnonzero(brk)[1:] - 1, len(hit) - 1]] if len(hit) else hit
-    out_key = np.r_[keys[w_rows], keys[owner[lo]]]
-    out_start = np.r_[place[w_rows], place[owner[lo]] + step[lo]]
-    out_end = np.r_[place[w_rows] + size[w_rows], place[owner[hi]] + step[hi] + LENGTH]
-    block = (mix(out_key.astype(np.int64).view(np.uint64)) % np.uint64(layout.blocks)).astype(np.int64)
-    by = np.argsort(block, kind="stable")
-    at = np.flatnonzero(np.r_[True, np.diff(block[by]) > 0]) if len(by) else np.zeros(0, np.int64)
-    packed = [blocks.pack(*(x[by[i:j]].astype(np.int64) for x in (out_key, out_start, out_end)), compress=True) for i, j in zip(at.tolist(), np.r_[at[1:], len(by)].tolist(), strict=True)]
-    return pa.table({"block": pa.array(block[by][at].tolist(), pa.int64()), "payload": pa.array(packed, pa.binary())})
+    order, head, is_head = _classes(data, begin, windows, anchor, ids)
+    whole = order[~is_head & (ids[order] > ids[head])]
+    out = [(keys[whole], place[whole], place[whole] + size[whole])]
+    left = np.ones(len(order), bool)
+    left[whole] = False
+    a = anchor[order]
+    group = np.cumsum(np.r_[False, a[1:] != a[:-1]]) if len(a) else a
+    several = np.bincount(group, weights=is_head)[group] > 1 if len(a) else left
+    for rows in _window_rows(anchor, windows, order[left[order] & several]):
+        row, lo, hi = _again(data, begin, windows, anchor, ids, rows)
+        out.append((keys[row], place[row] + lo, place[row] + hi + LENGTH))
+    key, start, end = (np.concatenate([o[i] for o in out]) for i in range(3))
+    block = (mix(key.astype(np.int64).view(np.uint64)) % np.uint64(layout.blocks)).astype(np.int64)
+    rows = _ranges(block, key, start, end)
+    return pa.table({"block": pa.array([r[0] for r in rows], pa.int64()), "payload": pa.array([r[1] for r in rows], pa.binary())})
 
 
 _RESULT = "key long, least long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans binary"
@@ -324,7 +381,7 @@ def repeated_spans(docs: DataFrame, id_column: str = "doc_id", text_column: str
     dealt = blocks.deal(docs, id_column, text_column, content_keys, layout).groupBy("block")
     anchors = dealt.applyInArrow(lambda t: _anchors(t, layout), "bucket long, payload binary")
     shared = blocks.shared_tokens(anchors, layout)
-    contexts = dealt.cogroup(shared.groupBy("block")).applyInArrow(lambda a, b: _contexts(a, b, layout), _CONTEXT)
+    contexts = dealt.cogroup(shared.groupBy("block")).applyInArrow(lambda a, b: _contexts(a, b, layout), "bucket long, payload binary")
     repeats = contexts.groupBy("bucket").applyInArrow(lambda t: _repeats(t, layout), "block long, payload binary")
     found = scratch.table(dealt.cogroup(repeats.groupBy("block")).applyInArrow(_finish, _RESULT), "removed")
     found = found.withColumnRenamed("key", "k")

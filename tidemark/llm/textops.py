@@ -24,11 +24,14 @@ def _splitmix(n: int, seed: int) -> np.ndarray:
 def mix(x: np.ndarray) -> np.ndarray:
     """Bijective 64-bit finaliser; returns a new array."""
     with np.errstate(over="ignore"):
-        x = x ^ (x >> np.uint64(30))
+        t = x >> np.uint64(30)
+        x = x ^ t
         x *= np.uint64(0xBF58476D1CE4E5B9)
-        x ^= x >> np.uint64(27)
+        np.right_shift(x, np.uint64(27), out=t)
+        x ^= t
         x *= np.uint64(0x94D049BB133111EB)
-        x ^= x >> np.uint64(31)
+        np.right_shift(x, np.uint64(31), out=t)
+        x ^= t
     return x
 
 
