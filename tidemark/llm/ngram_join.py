@@ -20,6 +20,8 @@ SHINGLE = 5
 LINK, PER = 75, 100
 #: Sets of one tile at the most.
 TILE = 4096
+#: Tiles that each set takes part in before the join on prefix tokens.
+ROUNDS = 2
 #: Bits of a signature.
 SIGNATURE_BITS = 1024
 
@@ -69,11 +71,11 @@ def least_overlap(n: np.ndarray | int) -> np.ndarray | int:
 
 
 def candidates(docs: DataFrame, id_column: str, text_column: str, layout: blocks.Layout) -> DataFrame:
-    """(key, n, tokens, prefix, tile) of the distinct sets that can link with another one.
+    """(key, n, tokens, prefix, tiles) of the distinct sets that can link with another one.
 
     In the order of (number of sets that have it, hash), the first n - least_overlap(n) + 1 tokens of two sets that link meet. A
     token of one set alone meets nothing, so a set with that many of them leaves; of the others, the tokens that several sets have
-    are enough to count overlaps. `prefix` has the rest of those first tokens, `tile` the least token by another hash.
+    are enough to count overlaps. `prefix` has the rest of those first tokens, `tiles` the least tokens by ROUNDS other hashes.
     """
     dealt = blocks.deal(docs, id_column, text_column, _keys, layout)
 
@@ -95,14 +97,14 @@ def candidates(docs: DataFrame, id_column: str, text_column: str, layout: blocks
             spare = n - least_overlap(n) + 1 - (n - len(ids))
             if n and spare > 0:
                 order = np.lexsort((ids, df))[:spare]
-                other = mix(ids ^ np.uint64(0x5BE0CD19137E2179))
-                rows.append((key, n, np.sort(ids).tobytes(), ids[order].tobytes(), int(other.min().view(np.int64))))
+                tiles = {int(mix(ids ^ np.uint64(0x5BE0CD19137E2179 + i)).min().view(np.int64)) for i in range(ROUNDS)}
+                rows.append((key, n, np.sort(ids).tobytes(), ids[order].tobytes(), sorted(tiles)))
         cols = list(zip(*rows, strict=True)) or [()] * 5
-        kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64())
-        return pa.table({c: pa.array(list(v), t) for c, v, t in zip(("key", "n", "tokens", "prefix", "tile"), cols, kinds, strict=True)})
+        kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()))
+        return pa.table({c: pa.array(list(v), t) for c, v, t in zip(("key", "n", "tokens", "prefix", "tiles"), cols, kinds, strict=True)})
 
     shared = blocks.shared_tokens(dealt.groupBy("block").applyInArrow(count, "bucket long, payload binary"), layout)
-    return dealt.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(choose, "key long, n long, tokens binary, prefix binary, tile long")
+    return dealt.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(choose, "key long, n long, tokens binary, prefix binary, tiles array<long>")
 
 
 class Tile:
@@ -165,10 +167,10 @@ def signature(tokens: np.ndarray) -> np.ndarray:
 
 
 def first_groups(found: DataFrame) -> DataFrame:
-    """`found` with `comp`, the key of a set it is connected with inside its tile (at most TILE sets with equal `tile`).
+    """`found` with `comp`: the smallest key of the sets it is connected with by links inside tiles.
 
-    Tiles are dealt out by ranges of (tile, key), so one with very many sets spreads over tasks. Most links are found here, and
-    each set travels once; what this misses, `later_links` finds.
+    A tile has the sets with one value among `tiles`, TILE of them at a time. Tiles are dealt out by ranges of (tile, key), so one
+    with very many sets spreads over tasks. Most links are found here; what this misses, `later_links` finds.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,28 +178,33 @@ def first_groups(found: DataFrame) -> DataFrame:
 
         def done() -> pa.RecordBatch:
             tile = Tile([r[0] for r in held], [r[1] for r in held], [r[2] for r in held])
-            comp = {k: tile.keys[c] for k, c in zip(tile.keys, tile.components(), strict=True)}
-            cols = list(zip(*held, strict=True))
             held.clear()
-            kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary())
-            return pa.RecordBatch.from_arrays([*(pa.array(list(c), t) for c, t in zip(cols[:4], kinds, strict=True)), pa.array([comp[k] for k in cols[0]], pa.int64())], names=["key", "n", "tokens", "prefix", "comp"])
+            links = [(tile.keys[c], k) for k, c in zip(tile.keys, tile.components(), strict=True) if tile.keys[c] != k]
+            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in range(2)], names=["a", "b"])
 
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("key", "n", "tokens", "prefix", "tile")), strict=True):
-                if held and (row[4] != held[-1][4] or len(held) >= TILE):
-                    yield done()
-                held.append(row)
-        if held:
+            for at in range(0, batch.num_rows, 256):
+                for row in zip(*(batch.slice(at, 256).column(c).to_pylist() for c in ("key", "n", "tokens", "tile")), strict=True):
+                    if held and (row[3] != held[-1][3] or len(held) >= TILE):
+                        if len(held) > 1:
+                            yield done()
+                        held.clear()
+                    held.append(row)
+        if len(held) > 1:
             yield done()
 
-    return found.repartitionByRange("tile", "key").sortWithinPartitions("tile", "key").mapInArrow(run, "key long, n long, tokens binary, prefix binary, comp long")
+    tiles = found.select("key", "n", "tokens", F.explode("tiles").alias("tile"))
+    links = tiles.repartitionByRange("tile", "key").sortWithinPartitions("tile", "key").mapInArrow(run, "a long, b long")
+    roots = connected_components(links)
+    return found.join(roots, F.col("key") == F.col("node"), "left").select("key", "n", "tokens", "prefix", F.coalesce("root", "key").alias("comp"))
 
 
 def later_links(found: DataFrame) -> DataFrame:
     """(a, b): pairs of `comp` with a link between them.
 
     Sets of two groups that link meet in a prefix token. For each such token the sets of every group visit the smaller-numbered
-    groups; a visit compares one set with the sets of a group, TILE of them at a time, and one link is enough.
+    groups where sizes and positions allow a link: from their first common token on, both sets must hold the overlap that their
+    sizes ask for. A visit compares one set with the sets of a group, TILE of them at a time, and one link is enough.
     """
     spark = found.sparkSession
 
@@ -205,18 +212,22 @@ def later_links(found: DataFrame) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
-                tokens = [np.frombuffer(x, np.int64) for x in part.column(2).to_pylist()]
+                tokens = [np.frombuffer(x, np.int64) for x in part.column(4).to_pylist()]
                 lengths = [len(t) for t in tokens]
                 if sum(lengths):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.concatenate(tokens)), *(pa.array(np.repeat(np.asarray(part.column(c)), lengths)) for c in (0, 1))], names=["token", "key", "comp"]
-                    )
+                    cols = [np.repeat(np.asarray(part.column(c)), lengths) for c in range(4)]
+                    place = np.arange(sum(lengths)) - np.repeat(np.r_[0, np.cumsum(lengths)[:-1]], lengths)
+                    cols[3] = cols[3] - place  # tokens that several sets have, from this one on: all that can be common
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in (np.concatenate(tokens), *cols)], names=["token", "key", "comp", "n", "reach"])
 
-    entries = found.select("key", "comp", "prefix").mapInArrow(prefix, "token long, key long, comp long")
+    shared = (F.octet_length("tokens") / 8).cast("long")
+    entries = found.select("key", "comp", "n", shared.alias("shared"), "prefix").mapInArrow(prefix, "token long, key long, comp long, n long, reach long")
     mixed = entries.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("token")
     met = scratch.table(entries.join(mixed, "token"), "met")
-    groups = met.select("token", F.col("comp").alias("home")).distinct()
-    visits = scratch.table(met.join(groups, "token").filter("home < comp").select("key", "comp", "home").distinct(), "visits")
+    band = F.floor(F.log("n") / F.log(F.lit(PER / LINK)))
+    groups = met.groupBy("token", F.col("comp").alias("home"), band.alias("band")).agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max("reach").alias("far"))
+    allowed = F.expr(f"home < comp and hi * {PER} >= n * {LINK} and lo * {LINK} <= n * {PER} and least(reach, far) * {PER + LINK} >= (n + lo) * {LINK}")
+    visits = scratch.table(met.join(groups, "token").filter(allowed).select("key", "comp", "home").distinct(), "visits")
     sizes = found.groupBy("comp").agg(F.count(F.lit(1)).alias("members"))
     homes = visits.select("home").distinct().join(sizes, F.col("home") == F.col("comp")).select("home", F.ceil(F.col("members") / TILE).alias("parts"))
     homes = scratch.table(homes, "homes")
