@@ -78,6 +78,14 @@ class Layout:
         return np.uint64((bucket >> (self.bits - self.top)) << (64 - self.top)) | low
 
 
+def runs(values: np.ndarray) -> list[tuple[int, int]]:
+    """Start and end of each run of equal neighbours."""
+    if not len(values):
+        return []
+    at = np.flatnonzero(np.r_[True, values[1:] != values[:-1]]).tolist()
+    return list(zip(at, [*at[1:], len(values)], strict=True))
+
+
 def _table(**columns: tuple[list, pa.DataType]) -> pa.Table:
     return pa.table({k: pa.array(v, t) for k, (v, t) in columns.items()})
 
@@ -114,7 +122,7 @@ def deal(docs: DataFrame, id_column: str, text_column: str, keys_of: Callable[[p
                     if before is not None and before <= doc:
                         continue
                     seen[key] = doc
-                    body = b"" if before is not None else piece.column(1)[i].as_py().encode()
+                    body = b"" if before is not None else (piece.column(1)[i].as_py() or "").encode()
                     held.setdefault(homes[i], []).append((key, doc, body))
                     size += len(body)
                 if size >= FLUSH_BYTES:
@@ -143,11 +151,9 @@ def texts_of(table: pa.Table) -> tuple[np.ndarray, np.ndarray, pa.Array]:
 
 def token_rows(block: int, tokens: np.ndarray, counts: np.ndarray, layout: Layout) -> pa.Table:
     """(bucket, payload) of sorted distinct tokens of a block and the number of its texts that have each."""
-    bucket = layout.bucket(tokens)
-    at = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(bucket) else np.zeros(0, np.int64)
-    ends = np.r_[at[1:], len(bucket)]
-    rows = [pack(np.array([block]), low48(tokens[a:b]), np.minimum(counts[a:b], 65535).astype(np.uint16)) for a, b in zip(at.tolist(), ends.tolist(), strict=True)]
-    return _table(bucket=(bucket[at].tolist(), pa.int64()), payload=(rows, pa.binary()))
+    parts = runs(bucket := layout.bucket(tokens))
+    rows = [pack(np.array([block]), low48(tokens[a:b]), np.minimum(counts[a:b], 65535).astype(np.uint16)) for a, b in parts]
+    return _table(bucket=([int(bucket[a]) for a, _ in parts], pa.int64()), payload=(rows, pa.binary()))
 
 
 def shared_tokens(rows: DataFrame, layout: Layout) -> DataFrame:
