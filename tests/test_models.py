@@ -234,3 +234,44 @@ def test_policy_text_and_principals(spark):
     assert policy.count() == 1
     who = flow.principals(spark.createDataFrame([("ab" * 32,), ("cd" * 32,)], "fingerprint string"), policy)
     assert {r["fingerprint"][:2]: r["role"] for r in who.collect()} == {"ab": "admin", "cd": None}
+
+
+def test_publish_checks_each_edit(spark, tmp_path):
+    from tidemark.operators import compaction
+
+    path = str(tmp_path / "manifest")
+    rows = [("add", 0, 1, 10), ("add", 0, 2, 10)]
+    kind = "action string, level long, file_num long, file_size long"
+    assert compaction.publish(spark, spark.createDataFrame(rows, kind), 1, path).count() == 2
+    current = compaction.publish(spark, spark.createDataFrame([("delete", 0, 1, None), ("add", 1, 3, 20)], kind), 2, path)
+    assert {(r["level"], r["file_num"]) for r in current.collect()} == {(0, 2), (1, 3)}
+    for no, bad in ((3, [("delete", 0, 1, None)]), (3, [("add", 0, 2, 1)]), (2, [("add", 0, 9, 1)])):
+        with pytest.raises(ValueError):
+            compaction.publish(spark, spark.createDataFrame(bad, kind), no, path)
+    with pytest.raises(ValueError):
+        compaction.Policy(levels=1)
+    assert compaction.Policy().capacity(2) == 100 << 20
+
+
+def test_compaction_loses_nothing_and_resurrects_nothing(spark):
+    from tidemark.operators import compaction, merge
+
+    rng = random.Random(8)
+    rows = [(b"k%02d" % rng.randrange(30), s, 2 if s % 4 == 0 else 1, None if s % 4 == 0 else b"v%d" % s, (300 - s) // 100, 1 + (300 - s) // 20) for s in range(1, 301)]
+    df = spark.createDataFrame(rows, "key binary, seq long, op int, value binary, level long, file_num long")
+    from tidemark.sources.testdata import file_metadata
+
+    files = file_metadata(df)
+    out, chosen = compaction.run(df, files, 0)
+    gone = chosen.select("level", "file_num")
+    rest = df.join(gone, ["level", "file_num"], "left_anti").select("key", "seq", "op", "value")
+    assert live(rest.unionByName(out.select("key", "seq", "op", "value"))) == live(df)
+    assert compaction.edit(out, chosen, 0, 100).filter("action = 'delete'").count() == chosen.count()
+    assert merge.order_violations(out.withColumn("pos", F.struct("key", -F.col("seq"))).withColumn("part", F.col("file_no")), "part").count() == 0
+
+
+def test_filter_blocks():
+    block = bloom.encode_filter(b"\x05\x80", 16)
+    assert bloom.decode_filter(block) == (b"\x05\x80", 16, bloom.PROBES)
+    with pytest.raises(ValueError):
+        bloom.decode_filter(block[:-1] + b"\0")

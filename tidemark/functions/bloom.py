@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+import struct
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -123,6 +125,21 @@ def rate_experiment(spark, inserted: int, asked: int) -> DataFrame:
     return found.agg(F.count_if(F.col("in") & ~F.col("maybe")).alias("false_negatives"), F.count_if(~F.col("in") & F.col("maybe")).alias("false_positives"))
 
 
+def encode_filter(bitset: bytes, bits: int, probes: int = PROBES) -> bytes:
+    """A filter as one block: the bits, their number and that of probes, and a checksum of it all."""
+    body = bitset + struct.pack("<QI", bits, probes)
+    return body + struct.pack("<I", zlib.crc32(body))
+
+
+def decode_filter(block: bytes) -> tuple[bytes, int, int]:
+    if len(block) < 16 or zlib.crc32(block[:-4]) != struct.unpack("<I", block[-4:])[0]:
+        raise ValueError("corrupt filter block")
+    bits, probes = struct.unpack("<QI", block[-16:-4])
+    if len(block) - 16 != (bits + 7) // 8:
+        raise ValueError("filter block of the wrong length")
+    return block[:-16], bits, probes
+
+
 def expected_rate(inserted: int, asked: int) -> float:
     return asked * (1 - math.exp(-PROBES / BITS_PER_KEY)) ** PROBES
 

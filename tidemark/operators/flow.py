@@ -131,3 +131,21 @@ def running_usage(requests: DataFrame, group: str, order: str, size: str) -> Dat
     """`requests` with used: what earlier requests of the group took."""
     w = Window.partitionBy(group).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     return requests.withColumn("used", F.coalesce(F.sum(size).over(w), F.lit(0)))
+
+
+def route_access(requests: DataFrame, routes: DataFrame) -> DataFrame:
+    """`requests` (method, path, granted) with answer: 404 for unknown paths, 405 for other methods, 403 without the route's permission.
+
+    `routes` (path, method, needed) is a fixed table of a few dozen rows.
+    """
+    known = routes.groupBy("path").agg(F.map_from_entries(F.collect_list(F.struct("method", "needed"))).alias("methods"))
+    both = requests.join(known, "path", "left")
+    needed = F.try_element_at("methods", F.col("method"))
+    answer = F.when(F.col("methods").isNull(), 404).when(needed.isNull(), 405).when(F.col("granted").bitwiseAND(needed) == needed, 200).otherwise(403)
+    return both.withColumn("answer", answer.cast("long")).drop("methods")
+
+
+def collect_files(spark: SparkSession, root: str, excluded: str = r"/(\.git|vendor|node_modules|testdata)/") -> DataFrame:
+    """(path, length) of the files below a folder but for excluded ones; contents are read only if a rule asks for them."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    return files.filter(~F.col("path").rlike(excluded)).select("path", "length")

@@ -55,3 +55,19 @@ def orphans(names: DataFrame, current: DataFrame) -> DataFrame:
     kind = F.when(F.col("name").rlike(table), "table").when(F.col("name").rlike(staging), "staging")
     marked = names.select("name", kind.alias("kind")).filter("kind is not null").withColumn("file_num", F.when(F.col("kind") == "table", F.regexp_extract("name", r"^([0-9]+)", 1).cast("long")))
     return marked.join(current.select("file_num").distinct(), "file_num", "left_anti").select("name", "kind")
+
+
+def counts(current: DataFrame) -> DataFrame:
+    """(level, files, bytes) of a version."""
+    return current.groupBy("level").agg(F.count(F.lit(1)).alias("files"), F.coalesce(F.sum("file_size"), F.lit(0)).alias("bytes"))
+
+
+def current_manifest(names: DataFrame) -> DataFrame:
+    """The manifest file of the highest number, by names `MANIFEST-NNNNNN`."""
+    number = F.when(F.col("name").rlike("^MANIFEST-[0-9]{6,}$"), F.regexp_extract("name", "([0-9]+)$", 1).cast("long"))
+    return names.agg(F.max_by("name", number).alias("name"))
+
+
+def handles(blocks: DataFrame) -> DataFrame:
+    """(file_num, handles): the meta-index of each file, a map from block names to (offset, size)."""
+    return blocks.groupBy("file_num").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("name", F.struct("offset", "size"))))).alias("handles"))

@@ -159,3 +159,9 @@ def block_report(rows: DataFrame) -> DataFrame:
     return rows.groupBy("block").agg(
         F.count(F.lit(1)).alias("records"), F.ceil(F.count(F.lit(1)) / 16).alias("restarts"), F.min("key").alias("first_key"), F.max("key").alias("last_key"), F.crc32(body.cast("binary")).alias("crc")
     )
+
+
+def dump(records: DataFrame, limit: int = 1_000) -> DataFrame:
+    """The first records as a report shows them, markers under their own names."""
+    kind = F.element_at(F.array(*map(F.lit, ("PUT", "DELETE", "BATCH_START", "BATCH_COMMIT"))), F.col("type").cast("int"))
+    return records.orderBy("seq").limit(limit).select("seq", kind.alias("type"), F.coalesce(F.octet_length("key"), F.lit(0)).cast("long").alias("key_bytes"), F.coalesce(F.octet_length("value"), F.lit(0)).cast("long").alias("value_bytes"))

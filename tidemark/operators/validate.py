@@ -79,3 +79,27 @@ def split_address(peer: str) -> list[Column]:
 def file_name_number(name: str) -> Column:
     """Number of a `%06d.sst` name, null for any other (no path separators pass)."""
     return F.when(F.col(name).rlike(r"^[0-9]{6,}\.sst$"), F.regexp_extract(name, r"^([0-9]+)", 1).cast("long"))
+
+
+MAX_SEQ = (1 << 63) - 1
+
+
+def next_seq(seq: str = "seq") -> Column:
+    """The number after a sequence number; at the largest one the query fails rather than wraps."""
+    return F.when(F.col(seq) < MAX_SEQ, F.col(seq) + 1).otherwise(F.raise_error(F.lit("sequence number overflow")).cast("long"))
+
+
+def command_problem() -> Column:
+    """What makes a replicated command (op, key, value, ops) invalid, or null."""
+    op = F.col("op")
+    return (
+        F.when(~op.isin("put", "delete", "batch"), "unknown op")
+        .when((op == "batch") & batch_problem().isNotNull(), batch_problem())
+        .when((op != "batch") & ~key_ok(), "invalid key")
+        .when((op == "put") & ~value_ok(), "value too large")
+        .when((op == "delete") & (F.coalesce(F.octet_length("value"), F.lit(0)) > 0), "delete with value")
+        .when((op != "batch") & (F.octet_length("key") + F.coalesce(F.octet_length("value"), F.lit(0)) + 7 > MAX_COMMAND), "command too large")
+    )
+
+
+MAX_COMMAND = 4 << 20

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark import schema as S
 from tidemark.functions import codec
-from tidemark.operators import ingest, levels, manifest, merge, recovery, resolve, validate
+from tidemark.operators import compaction, ingest, levels, manifest, merge, recovery, resolve, validate
 from tidemark.sources import testdata as D
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -517,3 +517,76 @@ def orphan_files(spark, sf_dir):
     sst = F.concat(F.lpad(k.cast("string"), 6, "0"), F.lit(".sst"))
     name = F.when(k % 4 == 1, F.concat(F.lit(".tmp_"), k.cast("string"), F.lit(".sst_x"))).when(k % 4 == 3, "notes.txt").otherwise(sst)
     return manifest.orphans(D.table(spark, sf_dir, "part").select(name.alias("name")), manifest.replay(_actions(spark, sf_dir)))
+
+
+@query(f"WITH {_ACTS}, {_LAST} SELECT level, count(*) AS files, CAST(sum(file_num * 3) AS BIGINT) AS bytes FROM Z WHERE rn = 1 AND action = 'add' GROUP BY level")
+def manifest_counts(spark, sf_dir):
+    return manifest.counts(manifest.replay(_actions(spark, sf_dir)).withColumn("file_size", F.col("file_num") * 3))
+
+
+@query("SELECT 'MANIFEST-' || lpad(CAST(max(p_partkey) FILTER (p_partkey % 3 = 0) AS VARCHAR), 6, '0') AS name FROM part")
+def manifest_current(spark, sf_dir):
+    k = F.col("p_partkey")
+    name = F.concat(F.lit("MANIFEST-"), F.lpad(k.cast("string"), 6, "0"))
+    return manifest.current_manifest(D.table(spark, sf_dir, "part").select(F.when(k % 3 == 0, name).otherwise(F.concat(name, F.lit(".tmp"))).alias("name")))
+
+
+@query("SELECT s_nationkey AS file_num, string_agg('b' || s_suppkey || '=' || s_suppkey * 10 || '+' || s_suppkey % 9, ',' ORDER BY 'b' || s_suppkey) AS handles FROM supplier GROUP BY s_nationkey")
+def sst_meta_index(spark, sf_dir):
+    k = F.col("s_suppkey")
+    h = manifest.handles(D.table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("file_num"), F.concat(F.lit("b"), k.cast("string")).alias("name"), (k * 10).alias("offset"), (k % 9).alias("size")))
+    return h.select("file_num", F.array_join(F.transform(F.map_entries("handles"), lambda e: F.concat(e["key"], F.lit("="), e["value"]["offset"].cast("string"), F.lit("+"), e["value"]["size"].cast("string"))), ",").alias("handles"))
+
+
+@query(f"WITH {FS} SELECT CAST(level AS BIGINT) AS level, min(smallest_key) AS smallest_key, max(largest_key) AS largest_key, count(*) AS files FROM F WHERE level = 1 GROUP BY level")
+def lsm_bounds(spark, sf_dir):
+    b = levels.bounds(D.files(spark, sf_dir).filter("level = 1"))
+    return shown(b.select(F.lit(1).cast("long").alias("level"), "smallest_key", "largest_key", "files"))
+
+
+@query(f"WITH {_LF}, IX AS (SELECT * FROM LF WHERE level <= 1), R AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq DESC, op DESC, file_num) AS rn FROM IX) SELECT key, seq, CAST(op AS BIGINT) AS op FROM R WHERE rn = 1 AND (op = 1 OR key IN (SELECT key FROM LF WHERE level > 1))")
+def lsm_compaction_run(spark, sf_dir):
+    """Level 0 with the files of level 1 that it meets, as one job."""
+    rows = D.with_file(D.mutation_log(spark, sf_dir, True))
+    return shown(compaction.run(rows, D.file_metadata(rows), 0)[0], "key", "seq", "op")
+
+
+@query(f"WITH {L}, G AS (SELECT *, event_id // 1000 AS log, 72 + strlen(key) + 8 * (4.0 / 3) + 24 + coalesce(strlen(value), 0) AS b FROM L), P AS (SELECT *, CAST(floor(coalesce(sum(b) OVER (PARTITION BY log ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / 20000) AS BIGINT) AS memtable FROM G) "
+       "SELECT log, memtable, count(*) AS rows, round(sum(b), 3) AS bytes FROM P GROUP BY 1, 2")
+def memtable_rotation(spark, sf_dir):
+    log = D.mutation_log(spark, sf_dir).withColumn("log", F.expr("event_id div 1000"))
+    return compaction.frozen_after(log, 20_000)
+
+
+@query("""SELECT count(*) AS runs, count(*) FILTER (o_orderkey % 17 = 0) AS failures, (SELECT 'L' || o_custkey % 6 || '->L' || o_custkey % 6 + 1 || ' src=' || o_orderkey % 5 || ' tgt=' || o_orderkey % 7 || ' out=' || o_orderkey % 4 || ' bytes=' || o_orderkey * 3 FROM orders ORDER BY o_orderkey DESC LIMIT 1) AS last FROM orders""")
+def compaction_journal(spark, sf_dir):
+    k = F.col("o_orderkey")
+    j = D.table(spark, sf_dir, "orders").select(k.alias("run"), (k % 17 != 0).alias("ok"), (F.col("o_custkey") % 6).alias("level"), (k % 5).alias("sources"), (k % 7).alias("targets"), (k % 4).alias("outputs"), (k * 3).alias("bytes"))
+    return compaction.journal_stats(j)
+
+
+@query(f"WITH {L}, {_BATCHED}, A AS (SELECT batch_id * 7 + pos + 2 AS seq, CASE op WHEN 1 THEN 'PUT' ELSE 'DELETE' END AS type, strlen(key) AS key_bytes, coalesce(strlen(value), 0) AS value_bytes FROM B UNION ALL SELECT DISTINCT batch_id * 7 + 1, 'BATCH_START', 0, 0 FROM B "
+       "UNION ALL SELECT DISTINCT batch_id * 7 + 7, 'BATCH_COMMIT', 0, 0 FROM B WHERE batch_id % 4 <> 3) SELECT * FROM A ORDER BY seq LIMIT 1000")
+def wal_dump(spark, sf_dir):
+    return recovery.dump(_marked(spark, sf_dir))
+
+
+@query("SELECT o_orderkey AS seq, o_orderkey + 1 AS following FROM orders")
+def seq_successor(spark, sf_dir):
+    return D.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("seq")).select("seq", validate.next_seq().alias("following"))
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 6 = 5 THEN 'unknown op' WHEN o_orderkey % 6 = 4 THEN 'empty batch' WHEN o_orderkey % 6 = 3 THEN 'invalid key' WHEN o_orderkey % 6 = 2 THEN 'delete with value' END AS problem FROM orders""")
+def command_problems(spark, sf_dir):
+    k = F.col("o_orderkey") % 6
+    op = F.when(k == 5, "scan").when(k == 4, "batch").when(k == 2, "delete").otherwise("put")
+    rows = D.table(spark, sf_dir, "orders").select("o_orderkey", op.alias("op"), F.when(k == 3, F.lit(b"")).otherwise(F.lit(b"key")).alias("key"), F.lit(b"v").alias("value"), F.lit(None).cast(S.BATCH_OPS).alias("ops"))
+    return rows.select("o_orderkey", validate.command_problem().alias("problem"))
+
+
+@query(f"WITH {_ACTS} SELECT DISTINCT lpad(CAST(file_num AS VARCHAR), 6, '0') || '.sst' AS name FROM A WHERE level = 0")
+def table_listing(spark, sf_dir):
+    from tidemark.operators import flow
+
+    names = _actions(spark, sf_dir).filter("level = 0").select(F.concat(F.lpad(F.col("file_num").cast("string"), 6, "0"), F.lit(".sst")).alias("name")).distinct()
+    return flow.table_listing(names.unionByName(names.select(F.concat("name", F.lit(".tmp")).alias("name"))))

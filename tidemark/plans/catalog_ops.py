@@ -300,6 +300,16 @@ def cli_commands(spark, sf_dir):
     return shown(D.table(spark, sf_dir, "nation").select("n_nationkey", cli.parsed(line).alias("c")).select("n_nationkey", "c.*"))
 
 
+@query("""SELECT c_custkey, CASE c_custkey % 4 WHEN 3 THEN 404 WHEN 2 THEN 405 WHEN 1 THEN CASE WHEN c_custkey % 3 = 2 THEN 200 ELSE 403 END ELSE CASE WHEN c_custkey % 3 = 0 THEN 403 ELSE 200 END END AS answer FROM customer""")
+def route_permissions(spark, sf_dir):
+    routes = spark.createDataFrame([("/stats", "GET", 1), ("/stats", "PUT", 4), ("/compact", "POST", 4)], "path string, method string, needed int")
+    k = F.col("c_custkey")
+    path = F.when(k % 4 == 3, "/none").when(k % 4 == 1, "/compact").otherwise("/stats")
+    method = F.when(k % 4 == 2, "DELETE").when(k % 4 == 1, "POST").otherwise("GET")
+    granted = F.when(k % 3 == 0, 0).when(k % 3 == 1, 3).otherwise(7)
+    return flow.route_access(D.table(spark, sf_dir, "customer").select(k, path.alias("path"), method.alias("method"), granted.alias("granted")), routes).select("c_custkey", "answer")
+
+
 # --- replicated log
 
 
