@@ -59,12 +59,14 @@ class Prefix:
             lo, hi = np.where(same, mid, lo), np.where(same, hi, mid - 1)
         return lo
 
-    def less(self, a: np.ndarray, b: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-        """Whether the first `most` bytes at a are smaller than those at b, and whether they are equal."""
-        n = self.common(a, b, most)
-        equal = n == most
-        at = np.minimum(n, most - 1)
-        return ~equal & (self.data[a + at] < self.data[b + at]), equal
+    def less(self, a: np.ndarray, b: np.ndarray, equal: np.ndarray, most: int) -> np.ndarray:
+        """Whether the first `most` bytes at a are smaller than those at b, where `equal` says that they are the same."""
+        out = np.zeros(len(a), bool)
+        rest = np.flatnonzero(~equal)
+        x, y = a[rest], b[rest]
+        n = np.minimum(self.common(x, y, most), most - 1)
+        out[rest] = self.data[x + n] < self.data[y + n]
+        return out
 
 
 def suffix_sort(prefix: Prefix, start: np.ndarray, segment: np.ndarray, length: int) -> np.ndarray:
@@ -77,6 +79,7 @@ def suffix_sort(prefix: Prefix, start: np.ndarray, segment: np.ndarray, length:
     order = np.arange(n)
     if not n:
         return order
+    whole = prefix.of(start, start + length)
     first = np.flatnonzero(np.r_[True, segment[1:] != segment[:-1]])
     size = np.diff(np.r_[first, n])
     begin, end = np.repeat(first, size), np.repeat(first + size, size)
@@ -92,14 +95,15 @@ def suffix_sort(prefix: Prefix, start: np.ndarray, segment: np.ndarray, length:
         has = other < end[live]
         lo, hi = np.where(has, other, 0), np.where(has, stop, 0)
         base = lo.copy()
-        me = start[order[live]]
+        me = order[live]
         while True:
             open_ = np.flatnonzero(lo < hi)
             if not len(open_):
                 break
             mid = (lo[open_] + hi[open_]) >> 1
-            smaller, equal = prefix.less(start[order[mid]], me[open_], length)
-            before = smaller | equal & ~left[open_]
+            x, y = order[mid], me[open_]
+            equal = whole[x] == whole[y]
+            before = prefix.less(start[x], start[y], equal, length) | equal & ~left[open_]
             lo[open_[before]] = mid[before] + 1
             hi[open_[~before]] = mid[~before]
         place = np.where(left, mine, other) + (live - mine) + (lo - base)
@@ -220,8 +224,7 @@ def _classes(data: np.ndarray, begin: np.ndarray, windows: np.ndarray, anchor: n
 
 def _ranges(block: np.ndarray, key: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[tuple[int, bytes]]:
     by = np.argsort(block, kind="stable")
-    at = np.flatnonzero(np.r_[True, np.diff(block[by]) > 0]) if len(by) else np.zeros(0, np.int64)
-    return [(int(block[by[i]]), blocks.pack(*(x[by[i:j]].astype(np.int64) for x in (key, start, end)), compress=True)) for i, j in zip(at.tolist(), np.r_[at[1:], len(by)].tolist(), strict=True)]
+    return [(int(block[by[i]]), blocks.pack(*(x[by[i:j]].astype(np.int64) for x in (key, start, end)), compress=True)) for i, j in blocks.runs(block[by])]
 
 
 def _contexts(left: pa.Table, right: pa.Table, layout: blocks.Layout) -> pa.Table:
@@ -247,8 +250,7 @@ def _contexts(left: pa.Table, right: pa.Table, layout: blocks.Layout) -> pa.Tabl
         rows += [(-1 - home, x) for _, x in _ranges(np.zeros(len(again), np.int64), keys[doc[again]], start, start + windows[again] + LENGTH - 1)]
     x_all = order[goes[order]]
     bucket = (anchor[x_all] >> np.uint64(64 - layout.bits - FINER)).astype(np.int64)
-    at = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(bucket) else np.zeros(0, np.int64)
-    for a, b in zip(at.tolist(), np.r_[at[1:], len(bucket)].tolist(), strict=True):
+    for a, b in blocks.runs(bucket):
         x = x_all[a:b]
         size = windows[x] + LENGTH - 1
         index = np.repeat(first[x] - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(size.sum())
@@ -270,7 +272,8 @@ def _window_rows(anchor: np.ndarray, windows: np.ndarray, rows: np.ndarray) -> I
 def _again(data: np.ndarray, begin: np.ndarray, windows: np.ndarray, anchor: np.ndarray, ids: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, first, last): runs of windows of `rows` that a row of smaller id has too.
 
-    Windows of one anchor are equal only if it stands at the same place in them, so (anchor, place) are segments of the suffix sort.
+    Windows whose hash no other window has are equal to none and stay out of the sort. Windows of one anchor are equal only if it
+    stands at the same place in them, so (anchor, place) are the sort's segments.
     """
     size = windows[rows] + LENGTH - 1
     at = np.r_[0, np.cumsum(size)[:-1]]
@@ -279,16 +282,21 @@ def _again(data: np.ndarray, begin: np.ndarray, windows: np.ndarray, anchor: np.
     owner = np.repeat(np.arange(len(rows)), n)
     step = np.arange(len(owner)) - np.repeat(np.r_[0, np.cumsum(n)[:-1]], n)
     start = at[owner] + step
-    its = mix(Prefix(local).grams(ANCHOR)) == np.repeat(anchor[rows], size)[: len(local) - ANCHOR + 1]
+    prefix = Prefix(local)
+    whole = prefix.of(start, start + LENGTH)
+    ranked = np.sort(whole)
+    twice = np.unique(ranked[1:][ranked[1:] == ranked[:-1]])
+    pick = np.flatnonzero(np.isin(whole, twice)) if len(twice) else np.zeros(0, np.int64)
+    its = mix(prefix.grams(ANCHOR)) == np.repeat(anchor[rows], size)[: len(local) - ANCHOR + 1]
     grams = np.arange(len(its))
     following = np.minimum.accumulate(np.where(its, grams, len(local))[::-1])[::-1]
-    place = following[start] - start
-    group = np.cumsum(np.r_[False, anchor[rows[1:]] != anchor[rows[:-1]]])
-    order = np.lexsort((place, group[owner]))
-    g, p = group[owner][order], place[order]
-    segment = np.cumsum(np.r_[False, (g[1:] != g[:-1]) | (p[1:] != p[:-1])])
+    place = following[start[pick]] - start[pick]
+    group = np.cumsum(np.r_[False, anchor[rows[1:]] != anchor[rows[:-1]]])[owner[pick]]
+    order = np.lexsort((place, group))
+    g, p = group[order], place[order]
+    segment = np.cumsum(np.r_[False, (g[1:] != g[:-1]) | (p[1:] != p[:-1])]) if len(g) else g
     repeated = np.zeros(len(start), bool)
-    repeated[order] = repeated_windows(local, start[order], segment, ids[rows][owner[order]])
+    repeated[pick[order]] = repeated_windows(local, start[pick[order]], segment, ids[rows][owner[pick[order]]])
     hit = np.flatnonzero(repeated)
     if not len(hit):
         return hit, hit, hit
