@@ -275,3 +275,16 @@ def test_filter_blocks():
     assert bloom.decode_filter(block) == (b"\x05\x80", 16, bloom.PROBES)
     with pytest.raises(ValueError):
         bloom.decode_filter(block[:-1] + b"\0")
+
+
+def test_reads_of_a_stored_log_are_pruned(spark, tmp_path):
+    rows = [(b"k%03d" % (i % 100), i, 1, b"v%d" % i) for i in range(500)] + [(b"\xff\xffz", 900, 1, b"last"), (b"k\xff", 901, 1, b"edge")]
+    merge.write_table(spark.createDataFrame(rows, LOG), str(tmp_path / "log"))
+    log = spark.read.parquet(str(tmp_path / "log"))
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [IsNotNull(key), EqualTo(key," in plan(resolve.get(log, b"k007"))
+    assert "GreaterThanOrEqual(key," in plan(resolve.prefix_scan(log, b"k00")) and "LessThan(key," in plan(resolve.prefix_scan(log, b"k00"))
+    assert "value" not in plan(resolve.exists(log, b"k007")).split("ReadSchema:")[1]
+    for prefix in (b"k00", b"\xff\xff", b"k\xff", b"", b"none"):
+        want = sorted(k for k, s, op, v in {r[0]: r for r in rows}.values() if k.startswith(prefix))
+        assert [bytes(r["key"]) for r in resolve.prefix_scan(log, prefix, 500).collect()] == want

@@ -45,12 +45,19 @@ def exists_many(log: DataFrame, requests: DataFrame) -> DataFrame:
     return requests.join(last, "key", "left").select("req_id", "key", F.coalesce(F.col("op") == S.PUT, F.lit(False)).alias("present"))
 
 
+def in_prefix(prefix: bytes) -> Column:
+    """Keys that start with `prefix`, as a range, which unlike a function reaches the scan's row-group statistics."""
+    low = F.col("key") >= F.lit(prefix)
+    stem = prefix.rstrip(b"\xff")
+    return low & (F.col("key") < F.lit(stem[:-1] + bytes([stem[-1] + 1]))) if stem else low
+
+
 def prefix_scan(log: DataFrame, prefix: bytes, limit: int = S.SCAN_LIMIT, include_tombstones: bool = False) -> DataFrame:
     """The first `limit` (500 at the most) keys that start with `prefix`, in key order, with their newest revision.
 
     Resolution comes before the limit and covers the whole log. Deleted keys appear, flagged, only on request.
     """
-    found = newest(log.filter(F.startswith(F.col("key"), F.lit(prefix))))
+    found = newest(log.filter(in_prefix(prefix)))
     if not include_tombstones:
         found = found.filter(F.col("op") == S.PUT)
     return found.withColumn("is_tombstone", F.col("op") == S.DELETE).orderBy("key").limit(max(0, min(limit, S.MAX_SCAN_LIMIT)))
