@@ -11,8 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm import sampling, scratch
-from tidemark.llm.textops import LOWER, buffers, map_text, span_hashes, spans
+from tidemark.llm import scratch
+from tidemark.llm.textops import LOWER, buffers, map_text, pieces, span_hashes, spans
 from tidemark.ship import ship
 
 #: The field is fitted on a sample of at most about so many documents (and bytes of text), half of them with pattern matches.
@@ -141,9 +141,10 @@ class Field:
     start: np.ndarray
 
     def scores(self, features: np.ndarray) -> np.ndarray:
-        out = np.zeros((len(features), 3))
-        for c in range(features.shape[1]):
-            out += self.weights[features[:, c]]
+        w = self.weights.astype(np.float32)
+        out = w[features[:, 0]]
+        for c in range(1, features.shape[1]):
+            out += w[features[:, c]]
         return out
 
     def decode(self, t: Tokens) -> np.ndarray:
@@ -156,21 +157,27 @@ class Field:
         if not n:
             return np.zeros(0, np.int64)
         blocks = -(-n // VITERBI_BLOCK)
-        e = np.zeros((blocks * VITERBI_BLOCK, 3))
+        e = np.zeros((blocks * VITERBI_BLOCK, 3), np.float32)
         e[:n] = self.scores(t.features)
         begins = np.zeros(len(e), bool)
         begins[t.first[:-1][t.first[:-1] < n]] = True
         begins[n:] = True
-        e, begins = e.reshape(blocks, VITERBI_BLOCK, 3), begins.reshape(blocks, VITERBI_BLOCK)
+        e = np.ascontiguousarray(e.reshape(blocks, VITERBI_BLOCK, 3).transpose(1, 0, 2))
+        begins = begins.reshape(blocks, VITERBI_BLOCK).T
+        step, start = self.step.astype(np.float32), self.start.astype(np.float32)
 
         def edge(k: int) -> np.ndarray:
-            return np.where(begins[:, k, None, None], self.start[None, None, :], self.step[None]) + e[:, k, None, :]
+            m = step + e[k][:, None, :]
+            fresh = np.flatnonzero(begins[k])
+            if len(fresh):
+                m[fresh] = (start + e[k][fresh])[:, None, :]
+            return m
 
         through = edge(0)
         for k in range(1, VITERBI_BLOCK):
             m = edge(k)
             through = _max3(*(through[:, :, q, None] + m[:, None, q, :] for q in range(3)))
-        enter = np.zeros((blocks, 3))
+        enter = np.zeros((blocks, 3), np.float32)
         for b in range(1, blocks):
             x = (enter[b - 1][:, None] + through[b - 1]).max(0)
             enter[b] = x - x.max()
@@ -263,12 +270,39 @@ def fit(texts: list[str], rounds: int = 80, rate: float = 0.3, l2: float = 1e-4)
 
 def train(docs: DataFrame, text_column: str = "text", id_column: str = "doc_id", fit_rows: int = FIT_ROWS, fit_bytes: int = FIT_BYTES) -> Field | None:
     """A field from a sample by hash of the id: about `fit_rows` documents and `fit_bytes` bytes at the most, half of each from
-    documents in which a keyword or key prefix stands. The patterns' matches are its labels."""
-    text = F.col(text_column)
-    likely = text.rlike(r"(?i)(?:password|passwd|secret|token|api_?key)[\"']? *[:=]|AKIA[A-Z0-9]{16}|[0-9a-f]{24}")
-    some = docs.select(id_column, text_column).filter(text.isNotNull())
-    parts = [sampling.bounded(some.filter(x), id_column, text_column, fit_rows // 2, fit_bytes // 2) for x in (likely, ~likely)]
-    texts = sorted(r[0] for p in parts for r in p.select(text_column).toLocalIterator())
+    documents with a match of a pattern. The matches are its labels. One scan counts both kinds, a second one takes the sample."""
+    ship(docs.sparkSession)
+    hashed = F.pmod(F.xxhash64(F.col(id_column), F.lit("sample")), F.lit(1 << 30))
+    some = docs.filter(F.col(text_column).isNotNull()).select(F.col(text_column).alias("text"), hashed.alias("h"))
+
+    def has_match(piece: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        data, offsets = buffers(piece.column(0))
+        has = np.zeros(piece.num_rows, bool)
+        has[[x[0] for x in base_spans(data, offsets)]] = True
+        return has, np.diff(offsets)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((2, 2), np.int64)
+        for batch in batches:
+            for piece in pieces(batch, 0):
+                has, size = has_match(piece)
+                for k in range(2):
+                    total[k] += (int((has == k).sum()), int(size[has == k].sum()))
+        yield pa.RecordBatch.from_arrays([pa.array([False, True]), pa.array(total[:, 0]), pa.array(total[:, 1])], names=["has", "n", "size"])
+
+    share = {False: 0, True: 0}
+    for has, n, size in some.mapInArrow(count, "has boolean, n long, size long").groupBy("has").agg(F.sum("n"), F.sum("size")).collect():
+        share[has] = int(min(1.0, fit_rows / 2 / max(n, 1), fit_bytes / 2 / max(size, 1)) * (1 << 30))
+
+    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in pieces(batch, 0):
+                has, _ = has_match(piece)
+                keep = np.flatnonzero(np.asarray(piece.column(1)) < np.where(has, share[True], share[False]))
+                yield pa.RecordBatch.from_arrays([piece.column(0).take(pa.array(keep))], names=["text"])
+
+    rows = some.filter(F.col("h") < max(share.values())).mapInArrow(take, "text string")
+    texts = sorted(r[0] for r in rows.collect())
     order = np.random.default_rng(5).permutation(len(texts)).tolist()
     return fit([texts[i] for i in order])
 
