@@ -187,6 +187,9 @@ def test_extraction():
     assert html_extract.extract_group([None, "", "<nav>x</nav>", "plain <i>text", "<article class=comment>no</article><main><p>yes"]) == ["", "", "", "plain text", "yes"]
     deep = "<article>" + "<div>" * 300 + "inner" + "</div>" * 300 + "<aside>no</aside></article>"
     assert html_extract.extract_group([deep]) == ["inner"]
+    hostile = ["<div>" * 5000 + f"text {i}" + "</div>" * 5000 for i in range(3)] + ["<body>" + "".join(f"<div>part {i} {k}</div>" for k in range(900)) for i in range(3)]
+    got = html_extract.extract_group(hostile)
+    assert got[:3] == ["text 0", "text 1", "text 2"] and got[5].count("part 2") == 900
 
 
 def test_simple_tree_matching_finds_the_largest_match():

@@ -15,6 +15,8 @@ from tidemark.ship import ship
 
 #: Pages of one host that are aligned with each other. A host with more is handled in several such groups.
 GROUP_PAGES = 64
+#: Below this depth, and beyond so many pairs of children, alignment stops or goes by order, which keeps hostile pages cheap.
+MOST_DEPTH, MOST_PAIRS = 100, 40_000
 #: A node is template when this many different pages have it with the same text.
 TEMPLATE_PAGES = 3
 
@@ -117,12 +119,17 @@ def _elements(node: Node) -> list[Node]:
     return out
 
 
-def align(a: Node, b: Node, into: list[tuple[Node, Node]]) -> int:
-    """Simple tree matching: the largest order-preserving match of two trees with equal roots; the matched nodes go to `into`."""
-    if a.tag != b.tag or (a.names or b.names) and a.names != b.names:
+def align(a: Node, b: Node, into: list[tuple[Node, Node]], depth: int = 0) -> int:
+    """Simple tree matching: the largest order-preserving match of two trees with equal roots; the matched nodes go to `into`.
+
+    Children so many that all pairs are too much are matched by order alone."""
+    if a.tag != b.tag or a.names != b.names:
         return 0
-    left, right = _elements(a), _elements(b)
-    sub = [[(align(x, y, pairs := []), pairs) for y in right] for x in left]
+    left, right = (_elements(a), _elements(b)) if depth < MOST_DEPTH else ([], [])
+    if len(left) * len(right) > MOST_PAIRS:
+        into.append((a, b))
+        return 1 + sum(align(x, y, into, depth + 1) for x, y in zip(left, right, strict=False))
+    sub = [[(align(x, y, pairs := [], depth + 1), pairs) for y in right] for x in left]
     best = [[0] * (len(right) + 1) for _ in range(len(left) + 1)]
     for i in range(len(left)):
         for j in range(len(right)):
@@ -199,28 +206,31 @@ def _find_main(root: Node) -> list[Node]:
     return [max(found["named"], key=lambda n: len(n.text()))] if found["named"] else []
 
 
-def _weight(node: Node) -> int:
-    """Characters of a subtree outside of asides, links and template nodes."""
-    total = 0
-    stack: list = [node]
+def _weights(root: Node) -> dict[int, int]:
+    """Characters of each subtree outside of asides, links and template nodes."""
+    total: dict[int, int] = {}
+    stack: list[tuple[Node, bool]] = [(root, False)]
     while stack:
-        x = stack.pop()
-        if isinstance(x, str):
-            total += len(x.strip())
-        elif x.tag != "a" and not x.template and not _is_aside(x, False):
-            stack.extend(x.children)
+        x, done = stack.pop()
+        if x.tag == "a" or x.template or _is_aside(x, False):
+            total[id(x)] = 0
+        elif done:
+            total[id(x)] = sum(len(c.strip()) if isinstance(c, str) else total[id(c)] for c in x.children)
+        else:
+            stack.append((x, True))
+            stack.extend((c, False) for c in x.children if isinstance(c, Node))
     return total
 
 
 def _descend(root: Node) -> Node:
     """Without an explicit element: down from the root while one child holds nearly all text of a node that is not template."""
-    node = root
-    while True:
-        total = _weight(node)
-        heavy = [x for x in node.children if isinstance(x, Node) and x.tag in BLOCK and x.tag not in ("p", "ul", "ol", "table") and _weight(x) >= 0.8 * total]
-        if not total or not heavy:
-            return node
+    node, weight = root, _weights(root)
+    while weight[id(node)]:
+        heavy = [x for x in node.children if isinstance(x, Node) and x.tag in BLOCK and x.tag not in ("p", "ul", "ol", "table") and weight[id(x)] >= 0.8 * weight[id(node)]]
+        if not heavy:
+            break
         node = heavy[0]
+    return node
 
 
 def _blocks(roots: list[Node], explicit: bool) -> Iterator[str]:
