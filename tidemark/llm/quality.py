@@ -177,7 +177,7 @@ def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_co
                 yield pa.RecordBatch.from_arrays([piece.column(2), piece.column(1), pa.array(list(x), pa.list_(pa.float32()))], names=["id", "y", "x"])
 
     kind = picked.schema["id"].dataType.simpleString()
-    found = sorted((r["id"], r["y"], r["x"]) for r in rows.mapInArrow(run, f"id {kind}, y double, x array<float>").toLocalIterator())
+    found = sorted((r["id"], r["y"], r["x"]) for r in rows.mapInArrow(run, f"id {kind}, y double, x array<float>").collect())
     x = np.array([r[2] for r in found], np.float32).reshape(len(found), len(FEATURES))
     return boost(x, np.array([r[1] for r in found]))
 
