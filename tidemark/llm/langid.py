@@ -19,7 +19,7 @@ BUCKET_BITS = 16
 #: Lengths of character n-grams.
 NGRAMS = (1, 2, 3)
 #: The classifier is fitted on a sample of at most about so many labelled texts, and so many bytes of text.
-FIT_ROWS, FIT_BYTES = 6_000, 24 << 20
+FIT_ROWS, FIT_BYTES = 4_000, 16 << 20
 #: TF-IDF values are multiplied by this, which puts them near 1.
 SCALE = 30.0
 RESULT = "lang_pred string, score double"
@@ -112,7 +112,7 @@ def document_frequencies(docs: DataFrame, text_column: str) -> tuple[np.ndarray,
         yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, at]), pa.array(np.r_[n, df[at]])], names=["bucket", "n"])
 
     df, n = np.zeros(1 << BUCKET_BITS, np.int64), 0
-    for bucket, count in docs.select(text_column).mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n")).toLocalIterator():
+    for bucket, count in docs.select(text_column).mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n")).collect():
         if bucket < 0:
             n = count
         else:
@@ -153,13 +153,21 @@ def fit(texts: list[str], langs: list[str], idf: np.ndarray, alpha: float = 0.5,
     labels = sorted(set(langs))
     k = len(labels)
     y = np.array([labels.index(x) for x in langs], np.int64)
-    rows: list[tuple[np.ndarray, np.ndarray]] = []
+    buckets, values, lengths = [], [], []
     for start in range(0, len(texts), 64):
         part = texts[start : start + 64]
         found = list(grams(part))
-        for i in range(len(part)):
-            b, n = np.unique(np.concatenate([x[at[i] : at[i + 1]] for x, at in found]), return_counts=True)
-            rows.append((b, n / max(n.sum(), 1) * idf[b] * SCALE))
+        each = [np.unique(np.concatenate([x[at[i] : at[i + 1]] for x, at in found]), return_counts=True) for i in range(len(part))]
+        buckets.append(np.concatenate([b for b, _ in each]).astype(np.uint16))
+        values.append(np.concatenate([n / max(n.sum(), 1) * idf[b] * SCALE for b, n in each]).astype(np.float32))
+        lengths += [len(b) for b, _ in each]
+    flat_b, flat_x = (np.concatenate(x) if x else np.zeros(0) for x in (buckets, values))
+    first = np.r_[0, np.cumsum(lengths)].astype(np.int64)
+    del buckets, values
+
+    def row(i: int) -> tuple[np.ndarray, np.ndarray]:
+        return flat_b[first[i] : first[i + 1]].astype(np.int64), flat_x[first[i] : first[i + 1]].astype(np.float64)
+
     held = np.arange(len(texts)) % 5 == 4
     size = 1 << BUCKET_BITS
     z, g2 = np.zeros((size + 1, k)), np.zeros((size + 1, k))
@@ -174,7 +182,8 @@ def fit(texts: list[str], langs: list[str], idf: np.ndarray, alpha: float = 0.5,
     rng = np.random.default_rng(7)
     for _ in range(epochs):
         for i in rng.permutation(order):
-            b, x = np.r_[rows[i][0], size], np.r_[rows[i][1], 1.0]
+            b, x = row(i)
+            b, x = np.r_[b, size], np.r_[x, 1.0]
             w = weights(b)
             s = x @ w
             p = np.exp(s - s.max())
@@ -187,7 +196,7 @@ def fit(texts: list[str], langs: list[str], idf: np.ndarray, alpha: float = 0.5,
     w = weights(np.arange(size + 1))
     model = Model(labels, (w[:size] * (idf * SCALE)[:, None]).astype(np.float32), w[size], 1.0)
     if held.any():
-        s = np.array([rows[i][1] @ w[rows[i][0]] + w[size] for i in np.flatnonzero(held)])
+        s = np.array([x @ w[b] + w[size] for b, x in map(row, np.flatnonzero(held).tolist())])
         model.temperature = _temperature(s, y[held])
     return model
 
@@ -218,7 +227,7 @@ def train(docs: DataFrame, text_column: str = "text", lang_column: str = "lang",
     known = docs.filter(F.col(lang_column).isNotNull()).select(id_column, F.coalesce(F.col(text_column), F.lit("")).alias(text_column), lang_column)
     df, n = document_frequencies(known, text_column)
     idf = np.log((1 + n) / (1 + df)) + 1
-    rows = sampling.bounded(known, id_column, text_column, fit_rows, fit_bytes).select(text_column, lang_column).toLocalIterator()
+    rows = sampling.bounded(known, id_column, text_column, fit_rows, fit_bytes).select(text_column, lang_column).collect()
     texts, langs = map(list, zip(*sorted((r[0], r[1]) for r in rows), strict=True)) if n else ([], [])
     order = np.random.default_rng(3).permutation(len(texts)).tolist()
     return fit([texts[i] for i in order], [langs[i] for i in order], idf)
