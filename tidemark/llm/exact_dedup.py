@@ -87,9 +87,9 @@ def exact_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     items = narrow.count()
     slice_bits = min(MAP_BITS - 3, max(4, (items // SLICE_ITEMS + 1).bit_length()))
     bitmap = np.zeros((1 << slice_bits, 1 << (MAP_BITS - slice_bits - 3)), np.uint8)
-    for row in repeated_fingerprints(narrow, slice_bits).filter("keys > 0").toLocalIterator():
+    for row in repeated_fingerprints(narrow, slice_bits).filter("keys > 0").collect():
         bitmap[row["slice"]] = np.frombuffer(row["bitmap"], np.uint8)
-    repeated = spark.sparkContext.broadcast(np.packbits(np.unpackbits(bitmap.ravel())) if bitmap.any() else np.zeros(0, np.uint8))
+    repeated = spark.sparkContext.broadcast(bitmap.ravel() if bitmap.any() else np.zeros(0, np.uint8))
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = repeated.value
