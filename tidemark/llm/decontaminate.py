@@ -169,7 +169,7 @@ def frequencies(docs: DataFrame, text_column: str, shingles: dict[int, np.ndarra
 
     out = {w: np.zeros(len(k), np.int64) for w, k in shingles.items()}
     counts = docs.select(F.col(text_column)).mapInArrow(run, "width long, at long, n long").groupBy("width", "at").agg(F.sum("n").alias("n"))
-    for w, at, n in counts.toLocalIterator():
+    for w, at, n in counts.collect():
         out[w][at] = n
     known.unpersist()
     return out
