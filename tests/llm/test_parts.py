@@ -192,6 +192,16 @@ def test_extraction():
     assert got[:3] == ["text 0", "text 1", "text 2"] and got[5].count("part 2") == 900
 
 
+def test_constant_nodes_leave_named_articles():
+    page = "<body><article><h1>{0} title</h1><div class=bar>Tell your friends</div><section><p>{0} one, {0} two and {0} three of a long text</p></section>{1}</article></body>"
+    shared = "<div class=x>A passage</div>"
+    words = ["alpha", "beta", "gamma", "delta", "eps", "zeta", "eta"]
+    got = html_extract.extract_group([page.format(w, shared if i < 3 else f"<div class=x>Other {w}</div>") for i, w in enumerate(words)])
+    assert all("Tell" not in t for t in got) and all("A passage" in t for t in got[:3]) and "Other zeta" in got[5]
+    copies = ["<article><h1>t{0}</h1><section>The same long text in every copy</section></article>".format(i) for i in range(4)]
+    assert all("same long text" in t for t in html_extract.extract_group(copies))
+
+
 def test_simple_tree_matching_finds_the_largest_match():
     a = html_extract.parse("<body><div><h1>x</h1><p>y</p></div><section><p>z</p></section></body>")
     b = html_extract.parse("<body><div><p>y</p></div><div><h1>x</h1><p>q</p></div><section><p>z</p><h2>w</h2></section></body>")

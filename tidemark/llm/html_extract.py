@@ -51,6 +51,8 @@ class Node:
     names: frozenset[str] = frozenset()
     children: list = field(default_factory=list)
     template: bool = False
+    #: Template, and the same in most pages that have the element around it.
+    constant: bool = False
 
     def text(self) -> str:
         parts: list[str] = []
@@ -151,6 +153,9 @@ def align(a: Node, b: Node, into: list[tuple[Node, Node]], depth: int = 0) -> in
 def induce(trees: list[Node]) -> None:
     """Mark the template nodes of pages of one host: aligned nodes whose text is the same in TEMPLATE_PAGES different pages.
 
+    A passage may stand in several articles at one place where others have another; what is the same in more than half of the
+    different pages that have the element around it is constant as well.
+
     All pages are aligned with one of them, so the work is linear in their number. Pages alike in all of their text are one page.
     """
     seen: dict[str, Node] = {}
@@ -168,10 +173,12 @@ def induce(trees: list[Node]) -> None:
         if any(t is d for d in different):
             for a, b in pairs:
                 votes.setdefault(id(a), {}).setdefault(b.text(), []).append(1)
+    around = {id(x): a for a, _ in matches[0] for x in a.children if isinstance(x, Node)}
     for pairs in matches:
         for a, b in pairs:
-            if a.tag != "html" and len(votes[id(a)].get(text := b.text(), ())) >= TEMPLATE_PAGES and text:
+            if a.tag != "html" and len(same := votes[id(a)].get(text := b.text(), ())) >= TEMPLATE_PAGES and text:
                 b.template = True
+                b.constant = 2 * len(same) > sum(map(len, votes[id(around[id(a)])].values()))
 
 
 def _is_aside(node: Node, inside_main: bool) -> bool:
@@ -233,7 +240,25 @@ def _descend(root: Node) -> Node:
     return node
 
 
+def _keeps_most(roots: list[Node]) -> bool:
+    """Whether constant nodes hold at most half of the text of explicit elements; where they hold more, the pages are copies of one article."""
+    gone = kept = 0
+    stack = [(x, False) for x in roots]
+    while stack:
+        x, constant = stack.pop()
+        for c in x.children:
+            if isinstance(c, Node):
+                if not _is_aside(c, True):
+                    stack.append((c, constant or c.constant))
+            elif constant:
+                gone += len(c.strip())
+            else:
+                kept += len(c.strip())
+    return gone <= kept
+
+
 def _blocks(roots: list[Node], explicit: bool) -> Iterator[str]:
+    drop_constant = explicit and _keeps_most(roots)
     for root in roots:
         buffer: list[str] = []
         stack: list = [(root, True)]
@@ -248,7 +273,7 @@ def _blocks(roots: list[Node], explicit: bool) -> Iterator[str]:
                 buffer = []
             if not enter:
                 continue
-            if x is not root and (_is_aside(x, explicit) or x.template and not explicit):
+            if x is not root and (_is_aside(x, explicit) or (drop_constant and x.constant if explicit else x.template)):
                 continue
             if x.tag in ("br", "td", "th", "img", "wbr"):
                 buffer.append(" " if x.tag != "wbr" else "")
@@ -278,9 +303,10 @@ def extract(pages: DataFrame, id_column: str = "page_id", url_column: str = "url
 
     Pages are ordered by host and, within it, by a hash, and dealt out by ranges of both, so a large host spreads over many tasks;
     runs of at most `group_pages` pages of one host are aligned with each other. Nodes with the same text in several different
-    pages become template, varying ones content. Where a page names its article (`article`, `main`, or a named container), the
-    article keeps all its blocks but those marked as menus, headers, footers, sidebars, notices, adverts, forms or comments, since a
-    passage may well stand in several articles; elsewhere template nodes go too, and the node that holds the varying text is taken.
+    pages become template, varying ones content. Where a page names its article (`article`, `main`, or a named container), blocks
+    of it marked as menus, headers, footers, sidebars, notices, adverts, forms or comments go, and of the template nodes those that
+    are the same in more than half of the pages, since a passage may well stand in several articles; where these would be more than
+    half of its text, the pages are copies and keep it. Elsewhere all template nodes go, and the node that holds the varying text is taken.
 
     Null and empty html give an empty text; so does a page with nothing but template. A null url is a host of its own. Repeated
     rows each give a row; other columns are not read.
