@@ -202,6 +202,31 @@ def test_constant_nodes_leave_named_articles():
     assert all("same long text" in t for t in html_extract.extract_group(copies))
 
 
+def test_alignment_reaches_all_blocks():
+    """Constant paragraphs after others, text between blocks, deep and wide pages, a second layout, a short last run."""
+    words = ["alpha", "beta", "gamma", "delta", "eps", "zeta"]
+    text = lambda w, n: "".join(f"<p>{w} passage {k} of some length" for k in range(n))
+    for before, after in (("<p>", "</p>"), ("<ul><li>Share<li>", "</ul>"), ("</p><span>", "</span>"), ("<div>" * 150, "</div>" * 150)):
+        pages = [f"<body class=c{w}><article id=post-{i}><h1>{w}</h1>{text(w, 2 + i)}{before.format(w)}Subscribe now{after}{text(w, 1)}</article>" for i, w in enumerate(words)]
+        got = html_extract.extract_group(pages)
+        assert all("Subscribe" not in t and t.count("passage") == 3 + i for i, t in enumerate(got))
+    wide = ["<body><article>" + ("<div>one more</div>" if i % 2 else "") + "".join(f"<div>{w} {k}</div>" for k in range(300)) + "<div>Subscribe now</div></article>" for i, w in enumerate(words)]
+    assert all("Subscribe" not in t and t.count(w) == 300 for w, t in zip(words, html_extract.extract_group(wide), strict=True))
+    two = [f"<div class={'ab'[i % 2]}><article>{text(w, 3)}<p>Made by {'ab'[i % 2]}</article></div>" for i, w in enumerate(words)]
+    assert all("Made" not in t and t.count("passage") == 3 for t in html_extract.extract_group(two))
+    assert html_extract.extract_group(two[:1], two[1:]) == html_extract.extract_group(two)[:1]
+
+
+def test_last_pages_of_a_host_are_aligned_too(spark):
+    rows = [(i, f"http://h.com/{i}", f"<article><h1>w{i}</h1><p>passage {i} of some length<p>Subscribe now</article>") for i in range(9)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        assert not any("Subscribe" in r["text"] for r in html_extract.extract(df, group_pages=8).collect())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+
+
 def test_simple_tree_matching_finds_the_largest_match():
     a = html_extract.parse("<body><div><h1>x</h1><p>y</p></div><section><p>z</p></section></body>")
     b = html_extract.parse("<body><div><p>y</p></div><div><h1>x</h1><p>q</p></div><section><p>z</p><h2>w</h2></section></body>")

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -15,10 +16,12 @@ from tidemark.ship import ship
 
 #: Pages of one host that are aligned with each other. A host with more is handled in several such groups.
 GROUP_PAGES = 64
-#: Below this depth, and beyond so many pairs of children, alignment stops or goes by order, which keeps hostile pages cheap.
-MOST_DEPTH, MOST_PAIRS = 100, 40_000
+#: Nodes that all pairs of are compared, at the most; larger ones meet by equal texts and by the order of equal elements, which keeps hostile pages cheap.
+MOST_PAIRS = 40_000
 #: A node is template when this many different pages have it with the same text.
 TEMPLATE_PAGES = 3
+#: And constant, if that is such a share of the pages that have the element around it.
+CONSTANT_SHARE = 0.9
 
 # Fixed values of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -40,6 +43,12 @@ ASIDE_NAMES = frozenset(
 COMMENT_NAMES = frozenset("comment comments reply replies respond".split())
 MAIN_NAMES = frozenset("main content article post entry story articlebody".split())
 
+#: Elements whose names do not matter in the alignment, for there are few in a page; text between blocks; what may be a passage.
+RUN = "#run"
+WHOLE = frozenset(("html", "body", "article", "main", RUN))
+PASSAGE = frozenset(("p", "li", RUN))
+BASE, PRIME = 0x5851F42D4C957F2D, (1 << 61) - 1
+
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[!?][^>]*+>", re.S)
 NAMES = re.compile(r"""(?:^|\s)(class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 WORD = re.compile(r"[a-z0-9]+")
@@ -51,7 +60,7 @@ class Node:
     names: frozenset[str] = frozenset()
     children: list = field(default_factory=list)
     template: bool = False
-    #: Template, and the same in most pages that have the element around it.
+    #: Template, and the same in CONSTANT_SHARE of the pages that have the element around it.
     constant: bool = False
 
     def text(self) -> str:
@@ -112,73 +121,255 @@ def parse(page: str) -> Node:
     return root
 
 
-def _elements(node: Node) -> list[Node]:
-    """Child elements that take part in the alignment; of a run of equal simple siblings only the first."""
-    out: list[Node] = []
-    for x in node.children:
-        if isinstance(x, Node) and x.tag in BLOCK and not (out and out[-1].tag == x.tag == "p") and not (out and out[-1].tag == x.tag == "li"):
-            out.append(x)
-    return out
-
-
-def align(a: Node, b: Node, into: list[tuple[Node, Node]], depth: int = 0) -> int:
-    """Simple tree matching: the largest order-preserving match of two trees with equal roots; the matched nodes go to `into`.
-
-    Children so many that all pairs are too much are matched by order alone."""
-    if a.tag != b.tag or a.names != b.names:
+class Place:
+    """A block in the alignment: of a page, or of the wrapper that the pages of a host share. `votes` has how many pages had which text there."""
+
+    __slots__ = ("node", "label", "mark", "kids", "size", "above", "votes", "pages", "index")
+
+    def __init__(self, node: Node, mark: tuple[int, int], kids: list[Place]):
+        self.node, self.mark, self.kids, self.above, self.pages = node, mark, kids, None, 0
+        names = frozenset(w for w in node.names if not w.isdigit()) if node.names and node.tag not in WHOLE else node.names
+        self.label = node.tag if node.tag in WHOLE else (node.tag, names)
+        self.size = 1 + sum(k.size for k in kids)
+        self.votes: dict[tuple[int, int], int] = {}
+        self.index: dict | None = None
+        for k in kids:
+            k.above = self
+
+    def find(self, label, mark: tuple[int, int]) -> Place | None:
+        if self.index is None:
+            self.index = {}
+            for k in self.kids:
+                for m in k.votes or (k.mark,):
+                    self.index.setdefault((k.label, m), k)
+        return self.index.get((label, mark))
+
+
+def outline(root: Node) -> Place:
+    """All blocks of a page that have text, with hashes of their words. Text and inline elements between blocks become a node RUN."""
+    order = [root]
+    for x in order:
+        order.extend(c for c in x.children if isinstance(c, Node))
+    done: dict[int, tuple[int, int, bool, list[Place]]] = {}
+    for x in reversed(order):
+        parts, holds = [], False
+        for c in x.children:
+            if isinstance(c, str):
+                h = n = 0
+                for w in c.split():
+                    h, n = (h * BASE + hash(w)) % PRIME, n + 1
+                parts.append((h, n))
+            else:
+                h, n, block, _ = done[id(c)]
+                parts.append((h, n))
+                holds = holds or block
+        h, n = _joined(parts)
+        kids: list[Place] = []
+        if holds:
+            children: list = []
+            run: list = []
+            for c, part in zip([*x.children, None], [*parts, None], strict=True):
+                block = c is not None and not isinstance(c, str) and done[id(c)][2]
+                if c is not None and not block:
+                    run.append((c, part))
+                    continue
+                if (mark := _joined([q for _, q in run]))[1]:
+                    children.append(Node(RUN, children=[r for r, _ in run]))
+                    kids.append(Place(children[-1], mark, []))
+                else:
+                    children.extend(r for r, _ in run)
+                run = []
+                if block:
+                    children.append(c)
+                    if part[1]:
+                        kids.append(Place(c, part, done[id(c)][3]))
+            x.children = children
+        done[id(x)] = (h, n, holds or x.tag in BLOCK, kids)
+    return Place(root, (h, n), kids)
+
+
+def _joined(parts: list[tuple[int, int]]) -> tuple[int, int]:
+    h = n = 0
+    for a, k in parts:
+        if k:
+            h, n = (h * pow(BASE, k, PRIME) + a) % PRIME, n + k
+    return h, n
+
+
+def _score(a: Place, b: Place) -> int:
+    """Simple tree matching: the size of the largest order-preserving match of two trees with equal roots."""
+    if a.label != b.label:
         return 0
-    left, right = (_elements(a), _elements(b)) if depth < MOST_DEPTH else ([], [])
+    if not a.kids or not b.kids:
+        return 1
+    row = [0] * (len(b.kids) + 1)
+    for x in a.kids:
+        last, row = row, [0]
+        for j, y in enumerate(b.kids):
+            row.append(max(last[j + 1], row[j], last[j] + _score(x, y)))
+    return row[-1] + 1
+
+
+def _rising(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Most of the pairs, ordered by their first numbers, whose second numbers rise too."""
+    tails: list[int] = []
+    at: list[int] = []
+    before = []
+    for k, (_, j) in enumerate(pairs):
+        n = bisect_left(tails, j)
+        before.append(at[n - 1] if n else -1)
+        tails[n : n + 1], at[n : n + 1] = [j], [k]
+    out, k = [], at[-1] if at else -1
+    while k >= 0:
+        out.append(pairs[k])
+        k = before[k]
+    return out[::-1]
+
+
+def _pair(left: Sequence[Place], right: Sequence[Place]) -> list[tuple[Place, Place]]:
+    """Matched children between two anchors."""
+    if not left or not right:
+        return []
+    labels = [x.label for x in left]
+    if labels == [y.label for y in right] and (len(set(labels)) == len(labels) or not any(x.kids for x in left)):
+        return list(zip(left, right, strict=True))
+    if not any(x.kids for x in left) and not any(y.kids for y in right):
+        n, short = 0, min(len(left), len(right))
+        while n < short and left[n].label == right[n].label:
+            n += 1
+        m = 0
+        while m < short - n and left[-1 - m].label == right[-1 - m].label:
+            m += 1
+        if n or m:
+            ends = list(zip(left[:n], right[:n], strict=True)) + list(zip(left[len(left) - m :], right[len(right) - m :], strict=True))
+            return ends + _pair(left[n : len(left) - m], right[n : len(right) - m])
     if len(left) * len(right) > MOST_PAIRS:
-        into.append((a, b))
-        return 1 + sum(align(x, y, into, depth + 1) for x, y in zip(left, right, strict=False))
-    sub = [[(align(x, y, pairs := [], depth + 1), pairs) for y in right] for x in left]
+        where: dict = {}
+        for j, y in enumerate(right):
+            where.setdefault(y.label, []).append(j)
+        turn: dict = {}
+        met = []
+        for i, x in enumerate(left):
+            k = turn[x.label] = turn.get(x.label, -1) + 1
+            if k < len(where.get(x.label, ())):
+                met.append((i, where[x.label][k]))
+        return [(left[i], right[j]) for i, j in _rising(met)]
+    exact = sum(x.size for x in left) * sum(y.size for y in right) <= MOST_PAIRS
+    weight = [[_score(x, y) if exact else (x.label == y.label) * (1 + min(len(x.kids), len(y.kids))) for y in right] for x in left]
     best = [[0] * (len(right) + 1) for _ in range(len(left) + 1)]
-    for i in range(len(left)):
-        for j in range(len(right)):
-            best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + sub[i][j][0])
-    into.append((a, b))
+    for i, w in enumerate(weight):
+        for j, v in enumerate(w):
+            best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + v)
+    out: list[tuple[Place, Place]] = []
     i, j = len(left), len(right)
     while i and j:
-        score, pairs = sub[i - 1][j - 1]
-        if score and best[i][j] == best[i - 1][j - 1] + score:
-            into.extend(pairs)
+        if weight[i - 1][j - 1] and best[i][j] == best[i - 1][j - 1] + weight[i - 1][j - 1]:
             i, j = i - 1, j - 1
+            out.append((left[i], right[j]))
         elif best[i][j] == best[i - 1][j]:
             i -= 1
         else:
             j -= 1
-    return best[-1][-1] + 1
+    return out
+
+
+def meet(a: Place, b: Place, grow: bool) -> list[tuple[Place, Place]]:
+    """Matched places of two trees with equal roots: from the roots down, children with a text seen before meet first, between them the
+    largest match counts. With `grow`, places of `b` without a match join `a` where they stand, and are their own match."""
+    out: list[tuple[Place, Place]] = []
+    todo = [(a, b)]
+    while todo:
+        x, y = todo.pop()
+        out.append((x, y))
+        if not y.kids:
+            continue
+        at = {id(k): i for i, k in enumerate(x.kids)}
+        seen: dict[int, int] = {}
+        for j, k in enumerate(y.kids):
+            if (found := x.find(k.label, k.mark)) is not None:
+                seen.setdefault(id(found), j)
+        anchors = _rising(sorted((at[i], j) for i, j in seen.items()))
+        met: list[tuple[Place, Place]] = []
+        i = j = 0
+        for p, q in [*anchors, (len(x.kids), len(y.kids))]:
+            met += _pair(x.kids[i:p], y.kids[j:q])
+            if p < len(x.kids):
+                met.append((x.kids[p], y.kids[q]))
+            i, j = p + 1, q + 1
+        todo += met
+        if grow and len(met) < len(y.kids):
+            own = {id(k): at[id(w)] for w, k in met}
+            kids: list[Place] = []
+            i = added = 0
+            for k in y.kids:
+                if id(k) in own:
+                    kids += x.kids[i : own[id(k)] + 1]
+                    i = own[id(k)] + 1
+                else:
+                    kids.append(k)
+                    k.above = x
+                    x.index.setdefault((k.label, k.mark), k)
+                    added += k.size
+                    new = [k]
+                    for w in new:
+                        out.append((w, w))
+                        new.extend(w.kids)
+            x.kids = kids + x.kids[i:]
+            while x is not None:
+                x.size += added
+                x = x.above
+    return out
+
+
+def align(a: Node, b: Node, into: list[tuple[Node, Node]]) -> int:
+    """The matched nodes of two pages go to `into`; their number."""
+    pairs = meet(outline(a), outline(b), False)
+    into.extend((x.node, y.node) for x, y in pairs)
+    return len(pairs)
+
+
+def _keep_lists(page: Place) -> None:
+    """Items go with all of their list or stay with all of it."""
+    todo = [page]
+    for x in todo:
+        todo.extend(x.kids)
+        items = [k.node for k in x.kids if k.node.tag == "li"]
+        if not all(n.constant for n in items):
+            for n in items:
+                n.constant = n.template = False
 
 
 def induce(trees: list[Node]) -> None:
     """Mark the template nodes of pages of one host: aligned nodes whose text is the same in TEMPLATE_PAGES different pages.
 
-    A passage may stand in several articles at one place where others have another; what is the same in more than half of the
-    different pages that have the element around it is constant as well.
+    Each page is aligned with a wrapper that starts as the first page and takes in the nodes it lacks (partial tree alignment), so
+    pages of several layouts find their own kind. Pages alike in all of their text are one page.
 
-    All pages are aligned with one of them, so the work is linear in their number. Pages alike in all of their text are one page.
+    A passage may stand in several articles at one place where others have another; what is the same in CONSTANT_SHARE of the
+    different pages that have the element around it is constant as well. Paragraphs, list items and runs of text
+    are template only if constant, list items only if all of their list are.
     """
-    seen: dict[str, Node] = {}
-    for t in trees:
-        seen.setdefault(t.text(), t)
-    different = list(seen.values())
-    if len(different) < TEMPLATE_PAGES:
+    pages = [outline(t) for t in trees]
+    if len({p.mark for p in pages}) < TEMPLATE_PAGES:
         return
-    reference, votes = different[0], {}
-    matches: list[list[tuple[Node, Node]]] = []
-    for t in trees:
-        pairs: list[tuple[Node, Node]] = []
-        align(reference, t, pairs)
-        matches.append(pairs)
-        if any(t is d for d in different):
-            for a, b in pairs:
-                votes.setdefault(id(a), {}).setdefault(b.text(), []).append(1)
-    around = {id(x): a for a, _ in matches[0] for x in a.children if isinstance(x, Node)}
-    for pairs in matches:
-        for a, b in pairs:
-            if a.tag != "html" and len(same := votes[id(a)].get(text := b.text(), ())) >= TEMPLATE_PAGES and text:
-                b.template = True
-                b.constant = 2 * len(same) > sum(map(len, votes[id(around[id(a)])].values()))
+    wrapper = Place(Node("html"), (0, 0), [])
+    seen: set[tuple[int, int]] = set()
+    matches: list[tuple[Place, Node, tuple[int, int]]] = []
+    for page in pages:
+        vote = page.mark not in seen
+        seen.add(page.mark)
+        for w, y in meet(wrapper, page, True):
+            matches.append((w, y.node, y.mark))
+            w.votes[y.mark] = w.votes.get(y.mark, 0) + vote
+            w.pages += vote
+            if w.above is not None and w.above.index is not None:
+                w.above.index.setdefault((w.label, y.mark), w)
+    for w, node, mark in matches:
+        if w.above is not None and w.votes[mark] >= TEMPLATE_PAGES:
+            node.constant = w.votes[mark] >= CONSTANT_SHARE * w.above.pages
+            node.template = node.constant or node.tag not in PASSAGE
+    for page in pages:
+        _keep_lists(page)
 
 
 def _is_aside(node: Node, inside_main: bool) -> bool:
@@ -290,11 +481,11 @@ def main_text(root: Node) -> str:
     return "\n\n".join(b for b in blocks if b)
 
 
-def extract_group(pages: list[str | None]) -> list[str]:
-    """The main texts of pages of one host."""
+def extract_group(pages: list[str | None], borrowed: Sequence[str | None] = ()) -> list[str]:
+    """The main texts of pages of one host; `borrowed` are other pages of it that help to tell template from content."""
     trees = [parse(p or "") for p in pages]
-    if len(trees) >= TEMPLATE_PAGES:
-        induce(trees)
+    if len(trees) + len(borrowed) >= TEMPLATE_PAGES:
+        induce(trees + [parse(p or "") for p in borrowed])
     return [main_text(t) for t in trees]
 
 
@@ -302,10 +493,10 @@ def extract(pages: DataFrame, id_column: str = "page_id", url_column: str = "url
     """(page_id, url, text, n_chars), a row for each row of `pages`.
 
     Pages are ordered by host and, within it, by a hash, and dealt out by ranges of both, so a large host spreads over many tasks;
-    runs of at most `group_pages` pages of one host are aligned with each other. Nodes with the same text in several different
+    runs of at most `group_pages` pages of one host are aligned with each other, a short last run with pages of the one before. Nodes with the same text in several different
     pages become template, varying ones content. Where a page names its article (`article`, `main`, or a named container), blocks
     of it marked as menus, headers, footers, sidebars, notices, adverts, forms or comments go, and of the template nodes those that
-    are the same in more than half of the pages, since a passage may well stand in several articles; where these would be more than
+    are the same in CONSTANT_SHARE of the pages, since a passage may well stand in several articles; where these would be more than
     half of its text, the pages are copies and keep it. Elsewhere all template nodes go, and the node that holds the varying text is taken.
 
     Null and empty html give an empty text; so does a page with nothing but template. A null url is a host of its own. Repeated
@@ -318,10 +509,13 @@ def extract(pages: DataFrame, id_column: str = "page_id", url_column: str = "url
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
+        before: list[str | None] = []
         last = None
 
         def done() -> pa.RecordBatch:
-            texts = extract_group([x[2] for x in held])
+            own = [x[2] for x in held]
+            texts = extract_group(own, before[: group_pages - len(own)])
+            before[:] = own
             ids, urls = pa.array([x[0] for x in held], kind), pa.array([x[1] for x in held], pa.string())
             held.clear()
             return pa.RecordBatch.from_arrays([ids, urls, pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["id", "url", "text", "n_chars"])
@@ -333,6 +527,8 @@ def extract(pages: DataFrame, id_column: str = "page_id", url_column: str = "url
                 for row in zip(*(part.column(c).to_pylist() for c in ("id", "url", "html", "host")), strict=True):
                     if held and (row[3] != last or len(held) >= group_pages):
                         yield done()
+                    if row[3] != last:
+                        before.clear()
                     last = row[3]
                     held.append(row)
         if held:
