@@ -227,6 +227,15 @@ def test_last_pages_of_a_host_are_aligned_too(spark):
         spark.conf.set("spark.sql.shuffle.partitions", "8")
 
 
+def test_all_content_containers_stay():
+    header = "<div class=main-header><h1>Site</h1></div>"
+    assert html_extract.extract_group([header + "<main><p>one<p>two</main>"]) == ["one\n\ntwo"]
+    split = "<div class=content><p>first<div class=entry>inner</div></div><div class=sidebar>no</div><div class=post>second, the longer</div><main>{0}</main>"
+    assert html_extract.extract_group([split.replace("<main>{0}</main>", "")]) == ["first\n\ninner\n\nsecond, the longer"]
+    assert html_extract.extract_group([split.format("third")]) == ["third"]
+    assert html_extract.extract_group(["<main>a</main><nav>no</nav><main>b<main>c</main></main>"]) == ["a\n\nb\n\nc"]
+
+
 def test_simple_tree_matching_finds_the_largest_match():
     a = html_extract.parse("<body><div><h1>x</h1><p>y</p></div><section><p>z</p></section></body>")
     b = html_extract.parse("<body><div><p>y</p></div><div><h1>x</h1><p>q</p></div><section><p>z</p><h2>w</h2></section></body>")

@@ -379,29 +379,24 @@ def _is_aside(node: Node, inside_main: bool) -> bool:
 
 
 def _find_main(root: Node) -> list[Node]:
-    """The explicit content elements: articles outside of asides, else main, else the named container with the most text."""
+    """The explicit content elements, outermost ones in page order: articles outside of asides, else main elements, else named containers."""
     found: dict[str, list[Node]] = {"article": [], "main": [], "named": []}
-    stack: list[tuple[Node, bool]] = [(root, False)]
-    order: list[tuple[str, Node]] = []
+    stack: list[tuple[Node, str]] = [(root, "")]
     while stack:
-        node, _ = stack.pop()
+        node, inside = stack.pop()
         if _is_aside(node, True):
             continue
         if node.tag == "article":
-            order.append(("article", node))
+            found["article"].append(node)
             continue
-        if node.tag == "main" or "main" in node.names and node.tag in ("div", "section"):
-            order.append(("main", node))
-        elif node.names & MAIN_NAMES and node.tag in ("div", "section", "td"):
-            order.append(("named", node))
-        stack.extend((x, False) for x in reversed(node.children) if isinstance(x, Node))
-    for kind, node in order:
-        found[kind].append(node)
-    if found["article"]:
-        return found["article"]
-    if found["main"]:
-        return found["main"][:1]
-    return [max(found["named"], key=lambda n: len(n.text()))] if found["named"] else []
+        if node.tag == "main" and "m" not in inside:
+            found["main"].append(node)
+            inside += "m"
+        if node.names & MAIN_NAMES and node.tag in ("div", "section", "td") and "n" not in inside:
+            found["named"].append(node)
+            inside += "n"
+        stack.extend((x, inside) for x in reversed(node.children) if isinstance(x, Node))
+    return found["article"] or found["main"] or found["named"]
 
 
 def _weights(root: Node) -> dict[int, int]:
