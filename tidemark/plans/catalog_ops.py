@@ -173,6 +173,12 @@ def lru_hit_ratio(spark, sf_dir):
     return cache.hit_ratio(cache.replay(_trace(spark, sf_dir).filter("pos < 3000"), 12), ["shard"]).select("shard", "accesses", "hits")
 
 
+@query()
+def lru_hit_ratio_whole(spark, sf_dir):
+    """`lru_hit_ratio` over all events; its SQL compares all pairs of accesses and so has the first 3,000 only."""
+    return cache.hit_ratio(cache.replay(_trace(spark, sf_dir), 12), ["shard"]).select("shard", "accesses", "hits")
+
+
 @query()
 def lru_sharded(spark, sf_dir):
     return cache.hit_ratio(cache.replay(cache.with_shard(_trace(spark, sf_dir).drop("shard")), 4), ["shard"])
