@@ -16,10 +16,14 @@ def _next(spark: SparkSession) -> None:
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents of which no language can be told: null texts and texts without a letter. The model learns from `docs`."""
+    """Drop documents of which no language can be told: null texts and texts without a letter. The model learns from `docs`; where none has a
+    language it knows no label, and letters alone decide. No score is too low."""
     _next(spark)
     name = scratch.free_name(docs, "language")
-    found = langid.identify(docs, langid.train(docs), out=name)
+    model = langid.train(docs)
+    if not model.labels:
+        return docs.filter(langid.has_letter("text"))
+    found = langid.identify(docs, model, out=name)
     return found.filter(F.col(name)["lang_pred"] != langid.UNKNOWN).select(*docs.columns)
 
 

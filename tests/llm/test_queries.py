@@ -90,3 +90,8 @@ def test_pipeline_stages_decide_on_their_own_input(spark, tmp_path):
 def test_pipeline_runs(spark):
     out = corpus_pipeline.run(spark, SF)
     assert {"doc_id", "size", "taken"} <= set(out.columns) and out.count() > 100
+
+
+def test_language_stage_without_languages(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "some words", None, "a", 10), (2, "12 !?", None, "a", 5), (3, None, None, "a", None), (4, "\u6f22\u5b57", None, "a", 2)], SCHEMA)
+    assert sorted(r["doc_id"] for r in corpus_pipeline.identify_language(spark, docs, "").collect()) == [1, 4]

@@ -6,8 +6,9 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import sampling, scratch
@@ -233,6 +234,16 @@ def train(docs: DataFrame, text_column: str = "text", lang_column: str = "lang",
     return fit([texts[i] for i in order], [langs[i] for i in order], idf)
 
 
+def has_letter(text_column: str = "text") -> Column:
+    """Whether a text has a letter, by the rule of the model."""
+
+    @F.pandas_udf("boolean")
+    def some(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: bool(t) and any(map(str.isalpha, t))).astype(bool)
+
+    return some(F.col(text_column))
+
+
 def identify(docs: DataFrame, model: Model, text_column: str = "text", out: str = "language", keep: list[str] | None = None) -> DataFrame:
     """`docs` (or its columns `keep`) with a struct column `out`: lang_pred, score (the calibrated probability, 0 to 1).
 
