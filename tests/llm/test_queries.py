@@ -95,3 +95,13 @@ def test_pipeline_runs(spark):
 def test_language_stage_without_languages(spark, tmp_path):
     docs = spark.createDataFrame([(1, "some words", None, "a", 10), (2, "12 !?", None, "a", 5), (3, None, None, "a", None), (4, "\u6f22\u5b57", None, "a", 2)], SCHEMA)
     assert sorted(r["doc_id"] for r in corpus_pipeline.identify_language(spark, docs, "").collect()) == [1, 4]
+
+
+def test_near_copies_with_repeated_ids(spark, tmp_path):
+    from tidemark.llm import ngram_join
+
+    texts = [" ".join(f"w{k}x{i}" for i in range(60)) for k in range(4)]
+    rows = [(1, texts[0]), (1, texts[1]), (2, texts[1] + " end"), (1, texts[2]), (3, texts[2] + " end"), (None, texts[3]), (4, texts[3] + " end"), (1, texts[0])]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "d"))
+    got = ngram_join.drop_near_copies(spark.read.parquet(str(tmp_path / "d"))).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in got) == sorted([(1, texts[0]), (1, texts[1]), (1, texts[2]), (4, texts[3] + " end")])

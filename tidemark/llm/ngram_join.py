@@ -261,6 +261,11 @@ def join_components(docs: DataFrame, id_column: str = "doc_id", text_column: str
     dropped and none is sampled. Rows without words, and null texts, have an empty set, size 0, and are their own component. Null
     ids never are a component's smallest id unless it has no other. Repeated rows each give a row; other columns are not read.
     """
+    return _components(docs, id_column, text_column).drop("root")
+
+
+def _components(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    """`join_components` with root, the smallest key of the component's sets, which tells components apart where ids repeat; null without words."""
     ship(docs.sparkSession)
     narrow = scratch.table(_narrow(docs, id_column, text_column), "sets")
     total = narrow.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
@@ -272,19 +277,21 @@ def join_components(docs: DataFrame, id_column: str = "doc_id", text_column: str
     classes = narrow.filter("n > 0").groupBy("key").agg(F.min("id").alias("least"))
     classes = scratch.table(classes, "classes")
     by_root = final.join(classes, "key").groupBy("root").agg(F.min("least").alias("component"))
-    large = final.join(by_root, "root").select("key", "component")
-    of_key = scratch.table(classes.join(large, "key", "left").select(F.col("key").alias("k"), F.coalesce("component", "least").alias("component")), "components")
-    return narrow.join(of_key, F.col("key") == F.col("k"), "left").select("id", "uid", "n", F.coalesce("component", "id").alias("component"))
+    large = final.join(by_root, "root").select("key", "component", "root")
+    of_key = scratch.table(classes.join(large, "key", "left").select(F.col("key").alias("k"), F.coalesce("component", "least").alias("component"), F.coalesce("root", "key").alias("root")), "components")
+    return narrow.join(of_key, F.col("key") == F.col("k"), "left").select("id", "uid", "n", F.coalesce("component", "id").alias("component"), "root")
 
 
 def drop_near_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """The rows of `docs` with one document of each component: the one whose id is the component's.
+    """The rows of `docs` with one document of each component: the one with the smallest id, of several the first; null ids come last.
 
-    As in `exact_dedup.drop_copies`, `docs` must be a table that reads the same each time; of repeated rows with that id one stays.
+    As in `exact_dedup.drop_copies`, `docs` must be a table that reads the same each time. Rows that share an id are told apart by
+    their components; of rows without words one of each id stays, and all with a null id.
     """
     mark = scratch.free_name(docs, "row_uid")
-    found = scratch.table(join_components(docs, id_column, text_column), "near")
-    heads = found.filter(F.col("id").eqNullSafe(F.col("component"))).groupBy("component").agg(F.min("uid").alias("head"))
-    alone = found.filter("component is null").select(F.col("uid").alias(mark))
-    keep = heads.filter("component is not null").select(F.col("head").alias(mark)).union(alone)
+    found = scratch.table(_components(docs, id_column, text_column), "near")
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "uid"))["uid"].alias(mark)
+    alone = found.filter("root is null and id is null").select(F.col("uid").alias(mark))
+    wordless = found.filter("root is null and id is not null").groupBy("id").agg(first).select(mark)
+    keep = found.filter("root is not null").groupBy("root").agg(first).select(mark).union(wordless).union(alone)
     return docs.withColumn(mark, F.monotonically_increasing_id()).join(keep, mark, "left_semi").drop(mark)
