@@ -224,3 +224,24 @@ def test_empty_tables(spark, rows):
     assert len(mixing.mix(df).collect()) == n
     assert len(decontaminate.find_contamination(df, spark.createDataFrame(items(), "item_id long, text string")).collect()) == n
     assert len(secrets.scan(df, secrets.train(df)).collect()) == n
+
+
+def test_decontamination_with_many_windows(spark):
+    """Thousands of windows, whose prefix hashes stand on both sides of 2**63: each planted passage is found, clean texts stay clean."""
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    word = lambda: "w" + str(int(rng.integers(0, 4000)))
+    bench = [(i, " ".join(word() for _ in range(30))) for i in range(400)]
+    index = decontaminate.WindowIndex(bench)
+    index.choose({w: np.ones(len(k), np.int64) for w, k in index.shingles.items()})
+    keys = index.prefix[decontaminate.SHINGLE][0]
+    assert len(index.texts) > 5000 and keys.dtype == np.uint64 and keys.min() < 1 << 63 <= keys.max()
+    assert not set(keys.tolist()) - {int(x) for _, t in bench for x in decontaminate.gram_hashes(decontaminate._hash_words(t.encode().split()), 5)}
+    rows = []
+    for i, t in bench:
+        rows.append((i, " ".join([*(word() for _ in range(20)), *t.split()[9:23], *(word() for _ in range(20))])))
+        rows.append((1000 + i, " ".join(word() for _ in range(50))))
+    got = decontaminate.find_contamination(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string"), out="c", keep=["doc_id"])
+    for r in got.collect():
+        assert (r["c"]["n_hit"], r["c"]["items"]) == ((14, [str(r["doc_id"])]) if r["doc_id"] < 1000 else (0, []))

@@ -106,10 +106,10 @@ class WindowIndex:
         for w, found in rows.items():
             if found:
                 found.sort()
-                key, offset, win = (np.array(x) for x in zip(*found, strict=True))
-                key = key.astype(np.uint64)
-                keys, first, count = np.unique(key, return_index=True, return_counts=True)
-                self.prefix[w] = (keys, first, count, offset.astype(np.int64), win.astype(np.int64))
+                key, offset, win = zip(*found, strict=True)
+                # without a type, integers on both sides of 2**63 become rounded floats
+                keys, first, count = np.unique(np.array(key, np.uint64), return_index=True, return_counts=True)
+                self.prefix[w] = (keys, first, count, np.array(offset, np.int64), np.array(win, np.int64))
         self.grams, self.shingles = [], {}
 
 
