@@ -105,3 +105,29 @@ def test_near_copies_with_repeated_ids(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "d"))
     got = ngram_join.drop_near_copies(spark.read.parquet(str(tmp_path / "d"))).collect()
     assert sorted((r["doc_id"], r["text"]) for r in got) == sorted([(1, texts[0]), (1, texts[1]), (1, texts[2]), (4, texts[3] + " end")])
+
+
+def test_language_sample_has_every_language(spark):
+    """Texts too long for the sample, and a language of one row among many, still give a model; odd rows get defined results."""
+    from tidemark.llm import langid, sampling
+
+    words = {"xx": "alba bela cola", "yy": "dern erof fgil", "zz": "hyn iqu jzo"}
+    rows = [(i, (words["xx"] + " ") * 40, "xx", "a", 1) for i in range(300)] + [(400 + i, words["yy"] * 60, "yy", "a", 1) for i in range(40)] + [(500, words["zz"] * 300, "zz", "a", 1), (501, None, "zz", "a", 1)]
+    docs = spark.createDataFrame(with_oddities(rows), SCHEMA)
+    sample = sampling.per_label(docs, "doc_id", "text", "lang", 60, 4000).collect()
+    assert {r["lang"] for r in sample} >= {"xx", "yy", "zz"} and len(sample) < 200
+    long = spark.createDataFrame([(i, words[k] * 5000, k, "a", 1) for i, k in enumerate(words)], SCHEMA)
+    model = langid.train(long, fit_rows=10, fit_bytes=1000)
+    assert model.labels == ["xx", "yy", "zz"]
+    got = {r["doc_id"]: r["language_"] for r in langid.identify(docs.withColumn("language", docs["lang"]), model).collect()}
+    assert got[500]["lang_pred"] == "zz" and got[400]["lang_pred"] == "yy" and got[501] == ("und", 0.0)
+    none = langid.train(docs.filter("doc_id < 0"))
+    assert none.labels == [] and {r["language"] for r in langid.identify(docs, none).collect()} == {("und", 0.0)}
+
+
+def test_language_stage_drops_what_no_language_claims(spark):
+    words = {"xx": "alba bela cola", "yy": "dern erof fgil", "zz": "hyn iqu jzo"}
+    rows = [(10 * i + j, f"{words[k]} " * 20, k, "a", 1) for i in range(30) for j, k in enumerate(words)]
+    docs = spark.createDataFrame([*rows, (9000, "vwv " * 30, None, "a", 1), (9001, "42 !", None, "a", 1)], SCHEMA)
+    kept = {r["doc_id"] for r in corpus_pipeline.identify_language(spark, docs, "").collect()}
+    assert {r[0] for r in rows} <= kept and not kept & {9000, 9001}

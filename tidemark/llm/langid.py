@@ -224,14 +224,17 @@ def _temperature(z: np.ndarray, y: np.ndarray) -> float:
 
 
 def train(docs: DataFrame, text_column: str = "text", lang_column: str = "lang", id_column: str = "doc_id", fit_rows: int = FIT_ROWS, fit_bytes: int = FIT_BYTES) -> Model:
-    """A model from all rows of `docs` with a language: document frequencies over all, weights from a sample bounded by the parameters."""
+    """A model from all rows of `docs` with a language: document frequencies over all, weights from a sample bounded by the parameters.
+
+    The sample (`sampling.per_label`) has a text of every language at least, however rare or long its texts. Null texts count as
+    empty. Without any language the model has no labels and calls every text unknown; with one, every text with a letter is that.
+    """
     known = docs.filter(F.col(lang_column).isNotNull()).select(id_column, F.coalesce(F.col(text_column), F.lit("")).alias(text_column), lang_column)
     df, n = document_frequencies(known, text_column)
     idf = np.log((1 + n) / (1 + df)) + 1
-    rows = sampling.bounded(known, id_column, text_column, fit_rows, fit_bytes).select(text_column, lang_column).collect()
-    texts, langs = map(list, zip(*sorted((r[0], r[1]) for r in rows), strict=True)) if n else ([], [])
-    order = np.random.default_rng(3).permutation(len(texts)).tolist()
-    return fit([texts[i] for i in order], [langs[i] for i in order], idf)
+    rows = sorted(tuple(r) for r in sampling.per_label(known, id_column, text_column, lang_column, fit_rows, fit_bytes).collect()) if n else []
+    order = np.random.default_rng(3).permutation(len(rows)).tolist()
+    return fit([rows[i][0] for i in order], [rows[i][1] for i in order], idf)
 
 
 def has_letter(text_column: str = "text") -> Column:
