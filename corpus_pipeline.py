@@ -10,21 +10,25 @@ from pyspark.sql import functions as F
 from tidemark.llm import decontaminate, exact_dedup, langid, mixing, ngram_join, scratch
 
 
+#: The least calibrated probability of its language that a document stays with: one language is likelier than all others together.
+LEAST_SCORE = 0.5
+
+
 def _next(spark: SparkSession) -> None:
     """A stage reads the written result of the one before, so what the latter left in the shared folder can go."""
     scratch.clear(spark)
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents of which no language can be told: null texts and texts without a letter. The model learns from `docs`; where none has a
-    language it knows no label, and letters alone decide. No score is too low."""
+    """Drop documents whose language can't be told: null texts, texts without a letter, and those of which no language reaches LEAST_SCORE.
+    The model learns from `docs`; where none has a language it knows no label, and letters alone decide."""
     _next(spark)
     name = scratch.free_name(docs, "language")
     model = langid.train(docs)
     if not model.labels:
         return docs.filter(langid.has_letter("text"))
     found = langid.identify(docs, model, out=name)
-    return found.filter(F.col(name)["lang_pred"] != langid.UNKNOWN).select(*docs.columns)
+    return found.filter((F.col(name)["lang_pred"] != langid.UNKNOWN) & (F.col(name)["score"] >= LEAST_SCORE)).select(*docs.columns)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
