@@ -245,3 +245,74 @@ def test_decontamination_with_many_windows(spark):
     got = decontaminate.find_contamination(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string"), out="c", keep=["doc_id"])
     for r in got.collect():
         assert (r["c"]["n_hit"], r["c"]["items"]) == ((14, [str(r["doc_id"])]) if r["doc_id"] < 1000 else (0, []))
+
+
+ASSIGN = re.compile(r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+
+
+def base_of(text):
+    found = [(m.start(), 0, m.end(), "assign") for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
+    found += [(m.start(), 1, m.end(), "access") for m in re.finditer(r"AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
+    found += [(m.start(), 2, m.end(), "hex") for m in re.finditer(r"[0-9a-f]+", text) if len(m[0]) >= 24]
+    return [(k, a, b) for a, _, b, k in sorted(found)]
+
+
+def secret_texts():
+    import random
+
+    rng = random.Random(8)
+    make = [
+        lambda: f"{rng.choice(['password', 'PassWd', 'secret', 'Token', 'api_key', 'APIKEY', 'tokKen', 'pass word'])}{rng.choice(['', chr(34), chr(39)])}{' ' * rng.randrange(3)}{rng.choice([':', '=', '=>'])}{rng.choice(['', ' ', ' ' + chr(34)])}"
+        + "".join(rng.choice("abXY09+/_.=-") for _ in range(rng.randrange(1, 14))),
+        lambda: "AKIA" + "".join(rng.choice("ABC019") for _ in range(rng.randrange(10, 22))),
+        lambda: "".join(rng.choice("0123456789abcdef") for _ in range(rng.randrange(18, 44))),
+        lambda: rng.choice(["漢字", "\U0001f600", "é", "word", "x" * 30, "12345678901234567890123456", "\n"]),
+    ]
+    texts = [" ".join(rng.choice(make)() for _ in range(rng.randrange(0, 30))) for _ in range(300)]
+    return [*texts, None, "", "token=", "AKIA", "word " * 30_000 + "token = 'abcdef123456'", "ab12" * 20_000]
+
+
+def test_base_spans_of_secrets_with_a_field(spark):
+    rows = [(i, t, None, "a", 1) for i, t in enumerate(secret_texts())]
+    docs = clashing(frame(spark, with_oddities(rows)), "base", "added", "s")
+    field = secrets.train(docs)
+    assert field is not None
+    got = secrets.scan(docs, field, out="s").collect()
+    assert Counter((r["doc_id"], tuple((x["kind"], x["start"], x["end"]) for x in r["s_"]["base"])) for r in got) == Counter((r[0], tuple(base_of(r[1] or ""))) for r in with_oddities(rows))
+    for r in got:
+        base = r["s_"]["base"]
+        assert all(not (x["start"] < b["end"] and b["start"] < x["end"]) for x in r["s_"]["added"] for b in base) and r["s"] == "mine"
+    empty = docs.filter("false")
+    assert secrets.train(empty) is None and secrets.scan(empty, None).collect() == []
+    assert secrets.train(docs.filter("text is null or text = ''")) is None
+
+
+def test_field_finds_secrets_of_other_kinds():
+    """Kinds that are neither patterns nor planted in training: most are found, and clean texts with numbers and addresses stay clean."""
+    import random
+    import string
+
+    import pyarrow as pa
+
+    from tests.llm.common import prose
+
+    rng = random.Random(12)
+    alnum = string.ascii_letters + string.digits
+    field = secrets.fit([prose(rng, 120) + ' token = "' + "".join(rng.choice("0123456789abcdef") for _ in range(40)) + '"' + prose(rng, 30) for _ in range(60)] + [prose(rng, 150) for _ in range(60)])
+    kinds = [
+        lambda: "ghp_" + "".join(rng.choice(alnum) for _ in range(36)),
+        lambda: ".".join("".join(rng.choice(alnum + "-_") for _ in range(n)) for n in (36, 60, 43)),
+        lambda: "".join(rng.choice("0123456789ABCDEF") for _ in range(32)),
+        lambda: "sk-" + "".join(rng.choice(alnum) for _ in range(24)),
+    ]
+    for make in kinds:
+        texts, want = [], []
+        for _ in range(60):
+            left, value = prose(rng, 20), make()
+            texts.append(f"{left} {value} {prose(rng, 20)}")
+            want.append((len(left) + 1, len(left) + 1 + len(value)))
+        found = secrets._scan(field, pa.array(texts, pa.large_string())).to_pylist()
+        assert sum(any(x["start"] < b and a < x["end"] for x in r["added"]) for r, (a, b) in zip(found, want, strict=True)) >= 54
+        assert not any(x["end"] <= a or x["start"] >= b for r, (a, b) in zip(found, want, strict=True) for x in r["added"])
+    clean = [prose(rng, 60) + " 4111 1111 1111 1111, 9807915762804490 of 2024-01-31, 10.20.30.40, jo.doe@mail.example.com https://www.example.com/en/page-12.html +1 (555) 123-4567 v1.20.3 HelloBigWorld snake_case_name" for _ in range(50)]
+    assert not any(r["added"] for r in secrets._scan(field, pa.array(clean, pa.large_string())).to_pylist())

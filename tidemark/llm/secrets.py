@@ -17,8 +17,10 @@ from tidemark.ship import ship
 
 #: The field is fitted on a sample of at most about so many documents (and bytes of text), half of them with pattern matches.
 FIT_ROWS, FIT_BYTES = 1_200, 6 << 20
+#: Training sequences with a tag at the most.
+FIT_SEQUENCES = 1_500
 #: Tokens of a training sequence, and of a block that Viterbi steps through side by side with others.
-SEQUENCE, VITERBI_BLOCK = 64, 128
+SEQUENCE, VITERBI_BLOCK = 32, 128
 RESULT = "base array<struct<kind:string,start:bigint,end:bigint>>, added array<struct<kind:string,start:bigint,end:bigint>>"
 B, I, O = 0, 1, 2  # noqa: E741
 
@@ -74,8 +76,9 @@ class Tokens:
     features: np.ndarray  # token x feature template, values are columns of the weight table
 
 
-#: How many values each feature template has: shape, its length, previous word, marks before, next shape, file's digits, file's length.
-SIZES = (128, 12, 5, 8, 128, 6, 6)
+#: How many values each feature template has: shape and length, turns between digits and letters, turns of case, distance of a word as in
+#: CONTEXT, marks before, next shape, file's digits, file's length, and of all that stands without a space around: turns and length.
+SIZES = (128, 12, 12, 5, 8, 128, 6, 6, 80)
 SHIFT = np.r_[0, np.cumsum(SIZES)]
 
 
@@ -99,10 +102,18 @@ def tokenize(data: np.ndarray, offsets: np.ndarray) -> Tokens:
         has[k] = total[ends] - total[starts]
     bucket = np.searchsorted([2, 5, 9, 16, 24, 33, 48], length, "right")
     shape = ((has["upper"] > 0) + 2 * (has["lower"] > 0) + 4 * (has["digit"] > 0) + 8 * (has["wide"] > 0)) * 8 + bucket
-    change = np.zeros(len(data), bool)
-    change[1:] = _IS["digit"][data[1:]] != _IS["digit"][data[:-1]]
-    total = np.r_[0, np.cumsum(change)]
-    turns = np.minimum(total[ends] - total[np.minimum(starts + 1, ends)], 22) // 2
+
+    def turns_of(table: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        change = np.zeros(len(data), bool)
+        change[1:] = table[data[1:]] != table[data[:-1]]
+        total = np.r_[0, np.cumsum(change)]
+        return total[ends] - total[np.minimum(starts + 1, ends)]
+
+    turns, case_turns = (np.minimum(turns_of(_IS[k], starts, ends), 22) // 2 for k in ("digit", "upper"))
+    run_starts, run_ends, _ = spans(data, offsets, _TOKEN)
+    run_turns = [np.searchsorted([1, 3, 6], turns_of(_IS[k], run_starts, run_ends), "right") for k in ("digit", "upper")]
+    run = (run_turns[0] * 4 + run_turns[1]) * 5 + np.searchsorted([8, 16, 24, 40], run_ends - run_starts, "right")
+    run = run[np.searchsorted(run_starts, starts, "right") - 1]
     context = np.isin(span_hashes(LOWER[data], starts, ends), _context()) & word
     since = np.arange(t) - np.maximum.accumulate(np.where(context, np.arange(t), -10))
     new_doc = np.zeros(t, bool)
@@ -118,7 +129,7 @@ def tokenize(data: np.ndarray, offsets: np.ndarray) -> Tokens:
     per = np.maximum(np.bincount(doc, minlength=n), 1)
     digits = np.searchsorted([0.001, 0.01, 0.05, 0.15, 0.4], np.bincount(doc, weights=has["digit"] > 0, minlength=n) / per, "right")
     size = np.searchsorted([8, 64, 512, 4096, 32768], per, "right")
-    columns = (np.where(word, shape, bucket), turns, before, mark, after, digits[doc], size[doc])
+    columns = (np.where(word, shape, bucket), turns, case_turns, before, mark, after, digits[doc], size[doc], run)
     return Tokens(starts, ends, first, np.column_stack([np.minimum(c, s - 1) + o for c, s, o in zip(columns, SIZES, SHIFT[:-1], strict=True)]))
 
 
@@ -218,62 +229,177 @@ def _sequences(t: Tokens, y: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarra
             yield t.features[k : min(b, k + SEQUENCE)], y[k : min(b, k + SEQUENCE)]
 
 
-def fit(texts: list[str], rounds: int = 80, rate: float = 0.3, l2: float = 1e-4) -> Field | None:
-    """Maximum likelihood by forward-backward and Adam; the pattern matches in `texts` are the tags. None without any match."""
+#: Kinds of secrets that are planted, by alphabet and lengths; the last kind is short and stands after a word as in CONTEXT only.
+_LOWER, _UPPER, _DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+PLANTED = (
+    (_LOWER + _UPPER + _DIGITS, 20, 64),
+    (_LOWER + _UPPER + _DIGITS + "+/", 24, 64),
+    (_LOWER + _UPPER + _DIGITS + "-_", 24, 64),
+    (_UPPER + _DIGITS, 16, 40),
+    (_LOWER + _DIGITS, 20, 48),
+    (_DIGITS + "abcdef", 24, 64),
+    (_LOWER + _UPPER + _DIGITS, 8, 14),
+)
+#: Runs of words that are planted in, and the least and most words of each: files of all lengths, few of them long.
+PLANTED_TEXTS, PLANTED_WORDS = 800, (10, 5_000)
+
+
+def _plain_token(rng: np.random.Generator, words: list[str]) -> str:
+    """What looks unusual and is no secret: numbers, addresses, dates, names of files and of things in programs."""
+
+    def digits(n: int) -> str:
+        return "".join(map(str, rng.integers(0, 10, n)))
+
+    def word() -> str:
+        return words[int(rng.integers(len(words)))]
+
+    kinds = (
+        lambda: digits(int(rng.integers(5, 21))),
+        lambda: ".".join(str(x) for x in rng.integers(0, 256, 4)),
+        lambda: f"+{digits(1)} ({digits(3)}) {digits(3)}-{digits(4)}",
+        lambda: f"{digits(4)}-{digits(2)}-{digits(2)}T{digits(2)}:{digits(2)}:{digits(2)}Z",
+        lambda: f"{word()}.{digits(2)}@{word()}{digits(1)}.example.com",
+        lambda: f"https://{word()}.example.org/{word()}/{word()}-{digits(3)}?{word()}={digits(2)}",
+        lambda: word().capitalize() + word().capitalize() + word().capitalize(),
+        lambda: f"{word()}_{word()}_{word()}",
+        lambda: f"{word()}{word()}{word()}".upper(),
+        lambda: f"{word()}/{word()}/{word()}{digits(2)}.txt",
+        lambda: f"v{digits(1)}.{digits(2)}.{digits(2)}",
+        lambda: f"{word()}{word()}{word()}{word()}{word()}",
+    )
+    return kinds[int(rng.integers(len(kinds)))]()
+
+
+def planted(texts: list[str], known: list[str], rng: np.random.Generator) -> tuple[list[str], list[tuple[int, int, int, int, int]]]:
+    """Runs of words of `texts`, repeated where a text has too few, with secrets planted in three of four, and their spans as `base_spans` gives them.
+
+    A secret is one of `known` (what the patterns matched) or is made by PLANTED; it stands alone, in quotes, or a few words after a
+    context word, so neither the patterns' words nor their values decide the tags. Every run gets tokens that are no secrets.
+    """
+    out: list[str] = []
+    found: list[tuple[int, int, int, int, int]] = []
+    at = 0
+    pool = [w for t in texts[:200] for w in t[:4000].split() if w.isalpha() and w.isascii()][:20_000] or ["word", "other"]
+    for k in range(PLANTED_TEXTS if texts else 0):
+        words = texts[k % len(texts)].split()
+        n = int(np.exp(rng.uniform(*np.log(PLANTED_WORDS))))
+        words = (words * min(n, -(-n // max(len(words), 1))))[: max(n, 1)] if len(words) < n else words
+        begin = int(rng.integers(max(1, len(words) - n + 1)))
+        words = [w.encode() for w in words[begin : begin + n] if len(w) < 200]
+        for _ in range(int(rng.integers(1, 4))):
+            words.insert(int(rng.integers(len(words) + 1)), _plain_token(rng, pool).encode())
+        place = int(rng.integers(len(words) + 1))
+        before, after, secret = b"", b"", b""
+        if k % 4:
+            kind = int(rng.integers(len(PLANTED) + (1 if known else 0)))
+            if kind < len(PLANTED):
+                alphabet, least, most = PLANTED[kind]
+                secret = "".join(alphabet[i] for i in rng.integers(0, len(alphabet), int(rng.integers(least, most + 1)))).encode()
+            else:
+                secret = known[int(rng.integers(len(known)))].encode()
+            secret = secret if any(48 <= c < 58 for c in secret) else secret + b"7"
+            if kind == len(PLANTED) - 1 or rng.random() < 0.4:
+                before = CONTEXT[int(rng.integers(len(CONTEXT)))] + (b" ", b" is ", b": ", b"=", b" = ")[int(rng.integers(5))]
+            if rng.random() < 0.3:
+                before, after = before + b'"', b'"'
+            after += (b"", b"", b",", b".")[int(rng.integers(4))]
+        left, right = b" ".join(words[:place]), b" ".join(words[place:])
+        head = left + b" " + before
+        text = (head + secret + after + b" " + right).decode(errors="replace")
+        if secret:
+            found.append((k, 3, at + len(head), at + len(head) + len(secret), at + len(head)))
+        at += len(text.encode())
+        out.append(text)
+    return out, found
+
+
+def fit(texts: list[str], rounds: int = 160, rate: float = 0.5, l2: float = 1e-4) -> Field | None:
+    """Maximum likelihood by forward-backward and Adam. None without texts.
+
+    Tags are the pattern matches in `texts` and the secrets planted in runs of their words (`planted`), so that shape and neighbours
+    tell a secret where no pattern does. Of the sequences with a tag every n-th is taken, FIT_SEQUENCES at the most, and of those
+    without as many and 200 more.
+    """
+    if not texts:
+        return None
+    rng = np.random.default_rng(11)
     rows: list[tuple[np.ndarray, np.ndarray]] = []
+    known: list[str] = []
     for start in range(0, len(texts), 64):
         data, offsets = buffers(pa.array(texts[start : start + 64], pa.large_string()))
-        t = tokenize(data, offsets)
-        rows.extend(_sequences(t, _tags(t, base_spans(data, offsets))))
+        t, found = tokenize(data, offsets), base_spans(data, offsets)
+        if len(known) < 1000:
+            known += [data[a:b].tobytes().decode() for _, _, _, b, a in found[:64] if b - a < 200]
+        rows.extend(_sequences(t, _tags(t, found)))
+    made, found = planted(texts, known, rng)
+    data, offsets = buffers(pa.array(made, pa.large_string()))
+    t = tokenize(data, offsets)
+    rows.extend(_sequences(t, _tags(t, found + base_spans(data, offsets))))  # the words may hold matches of their own
     marked = [r for r in rows if (r[1] != O).any()]
-    if not marked:
-        return None
+    marked = marked[:: -(-len(marked) // FIT_SEQUENCES)] if marked else marked
     plain = [r for r in rows if not (r[1] != O).any()]
-    step = max(1, len(plain) // (4 * len(marked) + 200))
-    rows = marked + plain[::step]
-    n = len(rows)
+    rows = marked + plain[:: max(1, len(plain) // (len(marked) + 200))]
+    n = len(rows);
     f = np.zeros((n, SEQUENCE, len(SIZES)), np.int64)
     y = np.full((n, SEQUENCE), O)
     mask = np.zeros((n, SEQUENCE), bool)
     for i, (a, b) in enumerate(rows):
         f[i, : len(a)], y[i, : len(b)], mask[i, : len(b)] = a, b, True
     size = int(SHIFT[-1])
-    params = [np.zeros((size, 3)), np.zeros((3, 3)), np.zeros(3)]
-    m, v = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
     one = np.eye(3)
+    seen = np.flatnonzero(mask.ravel())
+    flat, each = np.unique(f.reshape(-1, len(SIZES))[seen], axis=0, return_inverse=True)
+    each = each.ravel()
+    both = mask[:, 1:]
+    real = np.einsum("nip,niq,ni->pq", one[y[:, :-1]], one[y[:, 1:]], both.astype(float))
+    # Transitions begin with the shares they have, so that the features need to learn no more than what they tell.
+    begins = one[y[:, 0]].sum(0)
+    params = [np.zeros((size, 3)), np.log((real + 0.1) / (real + 0.1).sum(1, keepdims=True)), np.log((begins + 0.1) / (begins + 0.1).sum())]
+    m, v = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
     for k in range(1, rounds + 1):
         w, tr, st = params
-        e = w[f].sum(2)
-        a = np.zeros((n, SEQUENCE, 3))
-        b = np.zeros((n, SEQUENCE, 3))
-        a[:, 0] = st + e[:, 0]
+        e = np.zeros((n * SEQUENCE, 3))
+        e[seen] = sum(w[flat[:, c]] for c in range(len(SIZES)))[each]
+        e = e.reshape(n, SEQUENCE, 3)
+        top = e.max(2, keepdims=True)
+        x, step = np.exp(e - top), np.exp(tr)
+        # Forward and backward values are scaled to sum to one at each token, so they stay probabilities.
+        a, b = np.zeros((n, SEQUENCE, 3)), np.ones((n, SEQUENCE, 3)) / 3
+        a[:, 0] = np.exp(st - st.max()) * x[:, 0]
+        a[:, 0] /= a[:, 0].sum(1, keepdims=True)
         for i in range(1, SEQUENCE):
-            a[:, i] = np.where(mask[:, i, None], np.logaddexp.reduce(a[:, i - 1, :, None] + tr, axis=1) + e[:, i], a[:, i - 1])
+            q = (a[:, i - 1] @ step) * x[:, i]
+            a[:, i] = np.where(mask[:, i, None], q / q.sum(1, keepdims=True), a[:, i - 1])
         for i in range(SEQUENCE - 2, -1, -1):
-            b[:, i] = np.where(mask[:, i + 1, None], np.logaddexp.reduce(tr[None] + (e[:, i + 1] + b[:, i + 1])[:, None, :], axis=2), b[:, i + 1])
-        z = np.logaddexp.reduce(a[:, -1], axis=1)
-        post = np.exp(a + b - z[:, None, None]) * mask[:, :, None]
-        diff = post - one[y] * mask[:, :, None]
+            q = (x[:, i + 1] * b[:, i + 1]) @ step.T
+            b[:, i] = np.where(mask[:, i + 1, None], q / q.sum(1, keepdims=True), b[:, i + 1])
+        post = a * b
+        post /= post.sum(2, keepdims=True)
+        diff = (post - one[y]) * mask[:, :, None]
+        part = diff.reshape(-1, 3)[seen]
         gw = np.zeros((size, 3))
-        for c in range(len(SIZES)):
-            for s in range(3):
-                gw[:, s] += np.bincount(f[:, :, c].ravel(), diff[:, :, s].ravel(), size)
-        pair = np.exp(a[:, :-1, :, None] + tr + (e[:, 1:] + b[:, 1:])[:, :, None, :] - z[:, None, None, None]) * mask[:, 1:, None, None]
-        gt = pair.sum((0, 1)) - np.einsum("nip,niq,ni->pq", one[y[:, :-1]], one[y[:, 1:]], mask[:, 1:].astype(float))
-        grads = [gw / n + l2 * w, gt / n + l2 * tr, diff[:, 0].sum(0) / n + l2 * st]
+        for s in range(3):
+            own = np.bincount(each, part[:, s], len(flat))
+            for c in range(len(SIZES)):
+                gw[:, s] += np.bincount(flat[:, c], own, size)
+        pair = a[:, :-1, :, None] * step * (x[:, 1:] * b[:, 1:])[:, :, None, :]
+        pair *= (both / pair.sum((2, 3)))[:, :, None, None]
+        grads = [gw / n + l2 * w, (pair.sum((0, 1)) - real) / n + l2 * tr, diff[:, 0].sum(0) / n + l2 * st]
         for p, g, mm, vv in zip(params, grads, m, v, strict=True):
             mm += 0.1 * (g - mm)
             vv += 0.01 * (g * g - vv)
-            p -= rate * (mm / (1 - 0.9**k)) / (np.sqrt(vv / (1 - 0.99**k)) + 1e-9)
+            p -= rate / (1 + k / 100) * (mm / (1 - 0.9**k)) / (np.sqrt(vv / (1 - 0.99**k)) + 1e-9)
     return Field(*params)
 
 
 def train(docs: DataFrame, text_column: str = "text", id_column: str = "doc_id", fit_rows: int = FIT_ROWS, fit_bytes: int = FIT_BYTES) -> Field | None:
-    """A field from a sample by hash of the id: about `fit_rows` documents and `fit_bytes` bytes at the most, half of each from
-    documents with a match of a pattern. The matches are its labels. One scan counts both kinds, a second one takes the sample."""
+    """A field from a sample by hash of id and text: about `fit_rows` documents and `fit_bytes` bytes at the most, half of each from
+    documents with a match of a pattern; equal texts count once. One scan counts both kinds, a second one takes the sample. Texts of
+    more than a sixteenth of `fit_bytes` are not taken. Null where the sample is empty: no texts, or only null, empty or such long ones."""
     ship(docs.sparkSession)
-    hashed = F.pmod(F.xxhash64(F.col(id_column), F.lit("sample")), F.lit(1 << 30))
-    some = docs.filter(F.col(text_column).isNotNull()).select(F.col(text_column).alias("text"), hashed.alias("h"))
+    hashed = F.pmod(F.xxhash64(F.col(id_column), F.col(text_column), F.lit("sample")), F.lit(1 << 30))
+    size = F.octet_length(text_column)
+    some = docs.filter((size > 0) & (size <= fit_bytes // 16)).select(F.col(text_column).alias("text"), hashed.alias("h"))
 
     def has_match(piece: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
         data, offsets = buffers(piece.column(0))
@@ -302,7 +428,7 @@ def train(docs: DataFrame, text_column: str = "text", id_column: str = "doc_id",
                 yield pa.RecordBatch.from_arrays([piece.column(0).take(pa.array(keep))], names=["text"])
 
     rows = some.filter(F.col("h") < max(share.values())).mapInArrow(take, "text string")
-    texts = sorted(r[0] for r in rows.collect())
+    texts = sorted(r[0] for r in rows.distinct().collect())
     order = np.random.default_rng(5).permutation(len(texts)).tolist()
     return fit([texts[i] for i in order])
 
@@ -322,10 +448,11 @@ def _scan(field: Field | None, texts: pa.Array) -> pa.Array:
             opens = (tags[hit] == B) | np.r_[True, (np.diff(hit) > 1) | (np.diff(doc) > 0)]
             at = np.flatnonzero(opens)
             last = np.r_[at[1:], len(hit)] - 1
-            for d, a, b in zip(doc[at].tolist(), t.starts[hit[at]].tolist(), t.ends[hit[last]].tolist(), strict=True):
-                known = by_doc.setdefault(d, ([], []))
-                if not any(a < y and x < b for _, x, y in known[0]):
-                    known[1].append((KINDS[3], a, b))
+            starts, ends = t.starts[hit[at]], t.ends[hit[last]]
+            known = np.searchsorted(np.array([x[2] for x in base], np.int64), ends)
+            reach = np.maximum.accumulate(np.array([0, *(x[3] for x in base)], np.int64))[known]
+            for d, a, b in zip(*(x[reach <= starts].tolist() for x in (doc[at], starts, ends)), strict=True):
+                by_doc.setdefault(d, ([], []))[1].append((KINDS[3], a, b))
     rows = []
     for d in range(len(offsets) - 1):
         if d not in by_doc:
