@@ -12,10 +12,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm import scratch
 from tidemark.ship import ship
 
-#: Pages of one host that are aligned with each other. A host with more is handled in several such groups.
+#: Pages of one host that are aligned with each other, about. A host with twice as many is handled in several such groups.
 GROUP_PAGES = 64
+#: Hosts of several groups that are broadcast at the most (some tens of bytes each), and what a host's rows are spread by where they are more.
+BROADCAST_HOSTS, SALTS = 200_000, 64
 #: Nodes that all pairs of are compared, at the most; larger ones meet by equal texts and by the order of equal elements, which keeps hostile pages cheap.
 MOST_PAIRS = 40_000
 #: A node is template when this many different pages have it with the same text.
@@ -476,19 +479,20 @@ def main_text(root: Node) -> str:
     return "\n\n".join(b for b in blocks if b)
 
 
-def extract_group(pages: list[str | None], borrowed: Sequence[str | None] = ()) -> list[str]:
-    """The main texts of pages of one host; `borrowed` are other pages of it that help to tell template from content."""
+def extract_group(pages: list[str | None]) -> list[str]:
+    """The main texts of pages of one host."""
     trees = [parse(p or "") for p in pages]
-    if len(trees) + len(borrowed) >= TEMPLATE_PAGES:
-        induce(trees + [parse(p or "") for p in borrowed])
+    if len(trees) >= TEMPLATE_PAGES:
+        induce(trees)
     return [main_text(t) for t in trees]
 
 
 def extract(pages: DataFrame, id_column: str = "page_id", url_column: str = "url", html_column: str = "html", group_pages: int = GROUP_PAGES) -> DataFrame:
     """(page_id, url, text, n_chars), a row for each row of `pages`.
 
-    Pages are ordered by host and, within it, by a hash, and dealt out by ranges of both, so a large host spreads over many tasks;
-    runs of at most `group_pages` pages of one host are aligned with each other, a short last run with pages of the one before. Nodes with the same text in several different
+    Hosts of twice `group_pages` pages and more are cut by a hash of the page into groups of about that many or more, a number that
+    depends on the host's pages alone; a group is one place of the shuffle, so a large host spreads over many tasks, and the pages of a group are
+    aligned with each other in the order of that hash, whatever the number of partitions. Nodes with the same text in several different
     pages become template, varying ones content. Where a page names its article (`article`, `main`, or a named container), blocks
     of it marked as menus, headers, footers, sidebars, notices, adverts, forms or comments go, and of the template nodes those that
     are the same in CONSTANT_SHARE of the pages, since a passage may well stand in several articles; where these would be more than
@@ -500,34 +504,64 @@ def extract(pages: DataFrame, id_column: str = "page_id", url_column: str = "url
     ship(pages.sparkSession)
     id_kind = pages.schema[id_column].dataType.simpleString()
     host = F.lower(F.regexp_extract(F.coalesce(F.col(url_column), F.lit("")), r"://([^/?#]*)", 1))
-    keyed = pages.select(F.col(id_column).alias("id"), F.col(url_column).alias("url"), F.col(html_column).alias("html"), host.alias("host"), F.xxhash64(url_column, id_column).alias("h"))
+    keyed = pages.select(F.col(id_column).alias("id"), F.col(url_column).alias("url"), F.col(html_column).alias("html"), host.alias("host"))
+    keyed = keyed.withColumn("h", F.xxhash64("url", "id", "html"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
-        before: list[str | None] = []
-        last = None
-
-        def done() -> pa.RecordBatch:
-            own = [x[2] for x in held]
-            texts = extract_group(own, before[: group_pages - len(own)])
-            before[:] = own
-            ids, urls = pa.array([x[0] for x in held], kind), pa.array([x[1] for x in held], pa.string())
+        count: list[int] = []
+
+        def done(kind: pa.DataType) -> Iterator[pa.RecordBatch]:
+            texts = extract_group([x[2] for x in held])
+            for (id_, url, *_), text, n in zip(held, texts, count, strict=True):
+                for at in range(0, n, 4096):
+                    k = min(n - at, 4096)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([id_] * k, kind), pa.array([url] * k, pa.string()), pa.array([text] * k, pa.string()), pa.array([len(text)] * k, pa.int64())], names=["id", "url", "text", "n_chars"]
+                    )
             held.clear()
-            return pa.RecordBatch.from_arrays([ids, urls, pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["id", "url", "text", "n_chars"])
+            count.clear()
 
+        kind = None
         for batch in batches:
             kind = batch.schema.field("id").type
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                for row in zip(*(part.column(c).to_pylist() for c in ("id", "url", "html", "host")), strict=True):
-                    if held and (row[3] != last or len(held) >= group_pages):
-                        yield done()
-                    if row[3] != last:
-                        before.clear()
-                    last = row[3]
-                    held.append(row)
+                for row in zip(*(part.column(c).to_pylist() for c in ("id", "url", "html", "host", "part")), strict=True):
+                    if held and row[3:] != held[-1][3:]:
+                        yield from _joined_batches(done(kind))
+                    if held and row == held[-1]:
+                        count[-1] += 1
+                    else:
+                        held.append(row)
+                        count.append(1)
         if held:
-            yield done()
-
-    ordered = keyed.repartitionByRange("host", "h").sortWithinPartitions("host", "h")
-    return ordered.mapInArrow(run, f"id {id_kind}, url string, text string, n_chars long").select(F.col("id").alias(id_column), F.col("url").alias(url_column), "text", "n_chars")
+            yield from _joined_batches(done(kind))
+
+    grouped = _dealt(keyed, group_pages).repartition("host", "part").sortWithinPartitions("host", "part", "h", "url", "id")
+    return grouped.mapInArrow(run, f"id {id_kind}, url string, text string, n_chars long").select(F.col("id").alias(id_column), F.col("url").alias(url_column), "text", "n_chars")
+
+
+def _joined_batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Small batches as one of at most some thousand rows."""
+    held: list[pa.RecordBatch] = []
+    for part in parts:
+        held.append(part)
+        if sum(x.num_rows for x in held) >= 4096:
+            yield pa.concat_batches(held)
+            held = []
+    if held:
+        yield pa.concat_batches(held)
+
+
+def _dealt(keyed: DataFrame, group_pages: int, broadcast_hosts: int = BROADCAST_HOSTS) -> DataFrame:
+    """`keyed` with `part`, the group of the host that a page is in. Only hosts with several groups are looked up: by broadcast while they
+    are few, else by a join in which a host's rows are spread by SALTS."""
+    large = keyed.groupBy("host").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= 2 * group_pages)
+    large = scratch.table(large.select("host", F.floor(F.col("n") / group_pages).alias("parts")), "hosts")
+    if large.count() <= broadcast_hosts:
+        found = keyed.join(F.broadcast(large), "host", "left")
+    else:
+        spread = large.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).hint("merge")
+        found = keyed.withColumn("salt", F.pmod(F.shiftright("h", 32), F.lit(SALTS)).cast("int")).join(spread, ["host", "salt"], "left")
+    return found.select("id", "url", "html", "host", "h", F.pmod("h", F.coalesce("parts", F.lit(1))).alias("part"))
