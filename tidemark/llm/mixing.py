@@ -15,6 +15,8 @@ BLOCK_WORDS = 65_536
 LEAST_SLOTS = 64
 #: A source gives each of its documents this many times at the most.
 MOST_REPEATS = 3
+#: Bits of the hash that shuffles a source's documents.
+HASH_BITS = 60
 #: Slots that are ranked together; ranks of earlier chunks are added from a table of counts.
 CHUNK = 4_096
 
@@ -56,7 +58,7 @@ def _stream(sizes: DataFrame, docs: int) -> DataFrame:
     Order: `h`, then id and size. Running sums stay inside (source, leading bits of h); a table of those cells' sums adds the rest.
     """
     bits = max(4, (max(docs, 1).bit_length() + 1) // 2)
-    cells = sizes.withColumn("cell", F.shiftrightunsigned("h", 64 - bits))
+    cells = sizes.withColumn("cell", F.shiftrightunsigned("h", HASH_BITS - bits))
     ahead = Window.partitionBy("source").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
     starts = cells.groupBy("source", "cell").agg(F.sum("size").alias("words")).select("source", "cell", F.coalesce(F.sum("words").over(ahead), F.lit(0)).alias("start"))
     inside = Window.partitionBy("source", "cell").orderBy("h", "id", "size", "uid").rowsBetween(Window.unboundedPreceding, -1)
@@ -106,12 +108,14 @@ def mix(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", s
     result; columns other than the three are not read. Everything runs as DataFrame expressions.
     """
     spark = docs.sparkSession
-    text = F.col(text_column)
+    # The leading bits of an MD5, which other engines have too, so that SQL can tell the order.
+    mark = F.md5(F.concat(F.coalesce(F.col(id_column).cast("string"), F.lit("")), F.lit("|"), F.coalesce(F.col(text_column), F.lit(""))))
+    place = F.conv(F.substring(mark, 1, HASH_BITS // 4), 16, 10).cast("long")
     sizes = docs.select(
         F.col(id_column).alias("id"),
         F.col(source_column).alias("source"),
         word_count(text_column).alias("size"),
-        F.xxhash64(F.col(id_column), text).alias("h"),
+        place.alias("h"),
         F.monotonically_increasing_id().alias("uid"),
     )
     sizes = scratch.table(sizes, "sizes")

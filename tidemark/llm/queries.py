@@ -74,6 +74,32 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
 
+#: A source's slots take its shuffled words in order, around and around, so the words of a document are taken as often as whole rounds go,
+#: and once more as far as the last round reaches; the SQL needs no slots.
+OP4_SQL = r"""
+WITH s AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+    substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || '|' || coalesce(text, '')), 1, 15) AS h
+  FROM documents
+), per AS (
+  SELECT source, sum(size) AS source_size, 3 * sum(size) AS cap, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS weight FROM s GROUP BY source
+), levels AS (
+  SELECT *, CAST(sum(source_size) OVER () - coalesce(sum(cap) OVER (l ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE)
+    / sum(weight) OVER (l ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level, row_number() OVER l AS n
+  FROM per WINDOW l AS (ORDER BY CAST(cap AS DOUBLE) / weight, source NULLS LAST)
+), goal AS (
+  SELECT source, source_size, coalesce(least((SELECT arg_min(level, n) FROM levels WHERE level * weight <= cap) * weight, CAST(cap AS DOUBLE)), CAST(cap AS DOUBLE)) AS target FROM levels
+), plan AS (
+  SELECT *, CASE WHEN source_size > 0 THEN CAST(round(target) AS BIGINT) // CAST(source_size AS BIGINT) ELSE 0 END AS around FROM goal
+), placed AS (
+  SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY h, doc_id NULLS FIRST, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead FROM s
+)
+SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(source_size AS BIGINT) AS source_size, target,
+  CAST(around * size + greatest(0, least(size, CAST(round(target) AS BIGINT) - around * source_size - ahead)) AS BIGINT) AS taken
+FROM placed JOIN plan ON placed.source IS NOT DISTINCT FROM plan.source
+"""
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held = sampling.crc_part("doc_id", 4) == 2
@@ -176,6 +202,35 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+#: Texts as hexadecimal digits, cut into pieces of 1,000 bytes and the 49 after them, which hold every string of 50 bytes once.
+OP8_SQL = """
+WITH t AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents
+), pieces AS (
+  SELECT doc_id, k, substr(x, 2000 * k + 1, 2098) AS piece FROM (SELECT doc_id, x, unnest(range(0, len(x) // 2000 + 1)) AS k FROM t)
+), w AS (
+  SELECT doc_id, 1000 * k + j AS p, substr(piece, 2 * j + 1, 100) AS win
+  FROM (SELECT doc_id, k, piece, unnest(range(0, greatest(0, least(1000, len(piece) // 2 - 49)))) AS j FROM pieces)
+), first AS (
+  SELECT win, min(doc_id) AS least FROM w GROUP BY win HAVING min(doc_id) < max(doc_id)
+), hits AS (
+  SELECT doc_id, p, p > lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 50 AS gap FROM w JOIN first USING (win) WHERE doc_id > least
+), runs AS (
+  SELECT doc_id, min(p) AS a, max(p) + 50 AS b FROM (SELECT doc_id, p, sum(CASE WHEN gap THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM hits) GROUP BY doc_id, run
+), gone AS (
+  SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans FROM runs GROUP BY doc_id
+), edges AS (
+  SELECT doc_id, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS lo, a AS hi FROM runs
+  UNION ALL SELECT t.doc_id, coalesce(max(b), 0), any_value(len(x)) // 2 FROM t LEFT JOIN runs USING (doc_id) GROUP BY t.doc_id
+), kept AS (
+  SELECT doc_id, string_agg(substr(x, 2 * lo + 1, 2 * (hi - lo)), '' ORDER BY lo) AS y FROM edges JOIN t USING (doc_id) GROUP BY doc_id
+)
+SELECT t.doc_id, CAST(len(x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(coalesce(y, ''))) AS kept_sha256
+FROM t LEFT JOIN gone USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_exact_dedup": op2_exact_dedup,
@@ -188,4 +243,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_filter_urls": op9_filter_urls,
     "op10_find_secrets": op10_find_secrets,
 }
-SQL: dict[str, str] = {"op1_decontaminate": OP1_SQL, "op2_exact_dedup": OP2_SQL, "op7_ngram_join": OP7_SQL, "op9_filter_urls": OP9_SQL}
+SQL: dict[str, str] = {"op1_decontaminate": OP1_SQL, "op2_exact_dedup": OP2_SQL, "op4_mix_sources": OP4_SQL, "op7_ngram_join": OP7_SQL, "op8_suffix_dedup": OP8_SQL, "op9_filter_urls": OP9_SQL}
