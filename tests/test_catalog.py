@@ -36,21 +36,3 @@ def test_query(spark, duck, name):
     rel = duck.sql(sql)
     assert sorted(df.columns) == sorted(rel.columns)
     assert rows(df.columns, got) == rows(rel.columns, rel.fetchall())
-
-
-def test_whole_trace_is_replayed(spark, tmp_path):
-    from collections import Counter
-
-    n = 4000
-    kinds = ["click", "error", "purchase", "signup", "view"]
-    events = [(i, i * i % 331, kinds[i % 5]) for i in range(n)]
-    spark.createDataFrame(events, "event_id long, user_id long, event_type string").write.parquet(str(tmp_path / "events.parquet"))
-    held: dict = {}
-    hits, accesses = Counter(), Counter()
-    for _, user, kind in events:
-        lru, block = held.setdefault(user % 16, []), (user, len(kind) % 3)
-        accesses[user % 16] += 1
-        hits[user % 16] += block in lru
-        held[user % 16] = [block, *(b for b in lru if b != block)][:12]
-    got = {r["shard"]: (r["accesses"], r["hits"]) for r in catalog_ops.lru_hit_ratio_whole(spark, str(tmp_path)).collect()}
-    assert got == {s: (accesses[s], hits[s]) for s in accesses} and 0 < sum(hits.values()) < n

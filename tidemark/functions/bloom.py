@@ -5,7 +5,6 @@ from __future__ import annotations
 import math
 import struct
 import zlib
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -144,7 +143,8 @@ def expected_rate(inserted: int, asked: int) -> float:
     return asked * (1 - math.exp(-PROBES / BITS_PER_KEY)) ** PROBES
 
 
-def shard_of(rows: Iterator[tuple[int, int]], shards: int = 16) -> np.ndarray:
+def shard_of(files: np.ndarray, offsets: np.ndarray, shards: int = 16) -> np.ndarray:
     """Cache shard of (file, offset) pairs: bits 28 and up of the hash of both as little-endian numbers."""
-    h1, _ = murmur3([int(f).to_bytes(8, "little") + int(o).to_bytes(8, "little") for f, o in rows])
+    keys = np.column_stack([files, offsets]).astype("<u8").view("S16").ravel()
+    h1, _ = murmur3([k.ljust(16, b"\0") for k in keys.tolist()])
     return ((h1 >> np.uint64(28)) & np.uint64(shards - 1)).astype(np.int64)

@@ -6,6 +6,7 @@ import re
 import unicodedata
 
 import pandas as pd
+import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -73,9 +74,11 @@ def decode_varint(data: bytes, canonical: bool = False) -> int:
     raise ValueError("truncated varint")
 
 
-@F.pandas_udf(T.BinaryType())
-def varint(values: pd.Series) -> pd.Series:
-    return values.map(lambda n: None if pd.isna(n) else encode_varint(int(n)))
+def varint(value: str) -> Column:
+    """A whole number, read as 64 bits without a sign, as LEB128: seven bits a byte, lowest first, the high bit where more follow."""
+    last = f"(cast(ceil(length(bin({value})) / 7) as int) - 1)"
+    each = f"lpad(hex((shiftrightunsigned({value}, 7 * i) & 127) + if(i < {last}, 128, 0)), 2, '0')"
+    return F.when(F.col(value).isNotNull(), F.unhex(F.expr(f"array_join(transform(sequence(0, {last}), i -> {each}), '')")))
 
 
 def checksum(data: str) -> Column:
@@ -112,21 +115,76 @@ def masked(secret: str) -> Column:
     return F.when(F.length(s) == 0, "[EMPTY]").otherwise(F.format_string("***[REDACTED len=%d sha256=%s]***", F.octet_length(s), F.substring(F.sha2(s, 256), 1, 6)))
 
 
-# Parts of names whose values a log must not show.
-SENSITIVE = r"(?i)(password|passwd|secret|token|api_?key|authorization|credential|private_?key|cookie)"
+# What makes a name sensitive once it is written in snake case: parts that count anywhere, words between underscores,
+# words that count at the end, and words that count where the underscores are left out.
+SENSITIVE_PARTS = (
+    "password passwd pass_word passphrase secret credential private_key privatekey api_key apikey master_key masterkey signing_key signingkey "
+    "encryption_key encryptionkey access_key accesskey authorization sessionid cookie mnemonic"
+).split()
+SENSITIVE_WORDS = "pwd session card cvv cvc ssn salt nonce seed auth".split()
+SENSITIVE_ALONE = "pass pwd token auth session card cvv cvc ssn salt nonce seed".split()
+REDACTED = "[REDACTED]"
+# Fixed value: a sensitive name with its value in running text.
+SENSITIVE_TEXT = (
+    r"(?i)((?:^|[^A-Za-z0-9]))(password|passwd|pass|pwd|passphrase|secret|token|credential|credentials|api_key|apikey|private_key|privatekey|"
+    r"secret_key|signing_key|encryption_key|master_key|access_key|authorization|auth_token|access_token|refresh_token|cookie|set_cookie|session|"
+    r"session_id|sessionid|cvv|cvc|ssn|salt|nonce|mnemonic|seed)\b\s*[:=]\s*([^\s,;\"'}{]+)"
+)
+BEARER_TEXT = r"(?i)\b(Bearer\s+)([^\s,;\"'}{]+)"
+
+_STEPS = (
+    (r"(?<=[\p{Ll}\p{Nd}])(?=\p{Lu})|(?<=\p{Lu})(?=\p{Lu}\p{Ll})", "_"),
+    (r"[-.:/\\\[\](){} \t_@#$%^&*=+|~`<>?!]+", "_"),
+    (r"^_+|_+$", ""),
+)
+_NAME = (
+    "|".join(SENSITIVE_PARTS)
+    + rf"|(^|_)({'|'.join(SENSITIVE_WORDS)})(_|$)"
+    + r"|(^|_)token$|^pass$|_pass(_|$)"
+)
+_STRIPPED = rf"password|passwd|^({'|'.join(SENSITIVE_ALONE)})$"
+
+
+def snake_case(name: Column) -> Column:
+    """A name in lower case with one underscore for every change from small to capital letter and every run of separators."""
+    name = F.regexp_replace(name, r"^\s+|\s+$", "")
+    for pattern, to in _STEPS:
+        name = F.regexp_replace(name, pattern, to)
+    return F.regexp_replace(F.lower(name), "_+", "_")
+
+
+def sensitive(name: Column) -> Column:
+    """Whether a log must not show the value of this name: `authToken`, `API-Key` and `user.pwd`, but not `author`."""
+    snake = snake_case(name)
+    return snake.rlike(_NAME) | F.regexp_replace(snake, "_", "").rlike(_STRIPPED)
 
 
 def scrubbed(fields: str) -> Column:
-    """A map with the values of sensitive names replaced."""
-    return F.transform_values(fields, lambda k, v: F.when(k.rlike(SENSITIVE), "[REDACTED]").otherwise(v))
+    """A map with the values of sensitive names replaced, and sensitive text in the others."""
+    return F.transform_values(fields, lambda k, v: F.when(sensitive(k), REDACTED).otherwise(scrubbed_text(v)))
+
+
+def scrubbed_text(text: Column) -> Column:
+    """Running text with the values of `name=value`, `name: value` and bearer tokens replaced."""
+    return F.regexp_replace(F.regexp_replace(text, SENSITIVE_TEXT, f"$1$2={REDACTED}"), BEARER_TEXT, f"$1{REDACTED}")
+
+
+def _is_sensitive(name: str) -> bool:
+    snake = regex.sub(r"^\s+|\s+$", "", name)
+    for pattern, to in _STEPS:
+        snake = regex.sub(pattern, to, snake)
+    snake = regex.sub("_+", "_", snake.lower())
+    return bool(re.search(_NAME, snake) or re.search(_STRIPPED, snake.replace("_", "")))
 
 
 def scrub_nested(value: object, depth: int = 0) -> object:
-    """The same for nested dictionaries and lists, 32 levels deep at the most."""
+    """The same for nested dictionaries, lists and texts, 32 levels deep at the most."""
     if depth > 32:
-        return "[REDACTED]"
+        return REDACTED
     if isinstance(value, dict):
-        return {k: "[REDACTED]" if re.search(SENSITIVE, str(k)) else scrub_nested(v, depth + 1) for k, v in value.items()}
+        return {k: REDACTED if _is_sensitive(str(k)) else scrub_nested(v, depth + 1) for k, v in value.items()}
     if isinstance(value, list):
         return [scrub_nested(v, depth + 1) for v in value]
+    if isinstance(value, str):
+        return re.sub(BEARER_TEXT, rf"\1{REDACTED}", re.sub(SENSITIVE_TEXT, rf"\1\2={REDACTED}", value))
     return value

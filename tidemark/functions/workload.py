@@ -33,10 +33,11 @@ def key_of(rank: Column, prefix: str = "user") -> Column:
 
 
 def operations(spark: SparkSession, n: int, keyspace: int, read_ratio: int = 80, seed: int = 42, theta: float = 0.99) -> DataFrame:
-    """(seq, op, key): `n` gets and puts on Zipf keys; the same seed gives the same rows."""
-    rows = spark.range(n).select(F.col("id").alias("seq"), ((F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 40)) + 0.5) / float(1 << 40)).alias("u"))
-    u = F.col("u")
-    mix = F.pmod(F.xxhash64("seq", F.lit(seed + 1)), F.lit(100))
+    """(seq, op, key): `n` gets and puts on Zipf keys; the same seed gives the same rows. Digits of an MD5 are the random numbers."""
+    digits = F.md5(F.concat(F.col("id").cast("string"), F.lit(f":{seed}")))
+    number = lambda at, n: F.conv(F.substring(digits, at, n), 16, 10).cast("long")
+    rows = spark.range(n).select(F.col("id").alias("seq"), ((number(1, 10) + 0.5) / float(1 << 40)).alias("u"), (number(11, 8) % 100).alias("mix"))
+    u, mix = F.col("u"), F.col("mix")
     return rows.select("seq", F.when(mix < read_ratio, "GET").otherwise("PUT").alias("op"), key_of(zipf_rank(u, keyspace, theta)).alias("key"))
 
 

@@ -19,7 +19,7 @@ def with_shard(trace: DataFrame, shards: int = 16) -> DataFrame:
 
     @F.pandas_udf("long")
     def shard(files: pd.Series, offsets: pd.Series) -> pd.Series:
-        return pd.Series(bloom.shard_of(zip(files, offsets, strict=True), shards))
+        return pd.Series(bloom.shard_of(files.to_numpy(), offsets.to_numpy(), shards))
 
     return trace.withColumn("shard", shard("file_num", "offset"))
 

@@ -26,7 +26,7 @@ def delete_without_value(op: str = "op", value: str = "value") -> Column:
 
 def encoded_key_ok(encoded: str) -> Column:
     """An encoded internal key: 10 to 65,544 bytes, the last one a known operation."""
-    return F.coalesce(F.octet_length(encoded).between(10, S.MAX_KEY + 9) & F.hex(F.expr(f"right({encoded}, 1)")).isin("01", "02"), F.lit(False))
+    return F.coalesce(F.octet_length(encoded).between(10, S.MAX_KEY + 9) & F.hex(F.expr(f"substring({encoded}, octet_length({encoded}), 1)")).isin("01", "02"), F.lit(False))
 
 
 def problems(rows: DataFrame) -> DataFrame:

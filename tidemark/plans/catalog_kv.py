@@ -109,9 +109,11 @@ def kv_revision_count(spark, sf_dir):
     return shown(log.groupBy("key").agg(F.count(F.lit(1)).alias("revisions"), F.count_if(F.col("op") == S.DELETE).alias("deletes"), F.max("seq").alias("last_seq")))
 
 
-@query(f"WITH {L}, N AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq DESC, op DESC) AS rn FROM L WHERE seq <= 500) SELECT key, seq, value FROM N WHERE rn = 1 AND op = 1")
+@query(f"WITH {L}, N AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq DESC, op DESC) AS rn FROM L WHERE seq <= (SELECT max(seq) // 2 FROM L)) SELECT key, seq, value FROM N WHERE rn = 1 AND op = 1")
 def kv_as_of(spark, sf_dir):
-    return shown(resolve.as_of(D.mutation_log(spark, sf_dir), 500))
+    """The state at half of all sequence numbers."""
+    log = D.mutation_log(spark, sf_dir)
+    return shown(resolve.as_of(log, (log.agg(F.max("seq")).first()[0] or 0) // 2))
 
 
 _LAYER = "CASE WHEN seq > m * 3 // 4 THEN 0 WHEN seq > m // 2 THEN 1 WHEN seq > m // 4 THEN 2 ELSE 3 END"
@@ -199,13 +201,23 @@ def varint_lengths(spark, sf_dir):
     return o.select("n", codec.varint_length("v").alias("bytes"))
 
 
-@query()
+@query("""WITH K AS (SELECT o_orderkey AS n, CAST(ceil(length(bin(o_orderkey)) / 7.0) AS BIGINT) AS k FROM orders)
+  SELECT n, array_to_string(list_transform(range(0, k), lambda i: printf('%02x', ((n >> (7 * i)) & 127) + CASE WHEN i < k - 1 THEN 128 ELSE 0 END)), '') AS encoded FROM K""")
 def varint_codec(spark, sf_dir):
     o = D.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("n"))
     return o.select("n", F.lower(F.hex(codec.varint("n"))).alias("encoded"))
 
 
-@query()
+#: CRC-32 of the characters of a text: a table of 256 remainders, and a fold over the bytes.
+CRC_TABLE = "CT AS (SELECT list(c ORDER BY i) AS tab FROM (SELECT i, list_reduce([i] || [0, 0, 0, 0, 0, 0, 0, 0], lambda a, x: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) AS c FROM range(0, 256) t(i)))"
+
+
+def crc_sql(column: str) -> str:
+    codes = f"list_transform(range(1, length({column}) + 1), lambda i: CAST(ord(substr({column}, CAST(i AS BIGINT), 1)) AS BIGINT))"
+    return f"xor(4294967295, list_reduce([CAST(4294967295 AS BIGINT)] || {codes}, lambda a, x: xor(a >> 8, tab[(xor(a, x) & 255) + 1])))"
+
+
+@query(f"WITH {L}, {CRC_TABLE}, C AS (SELECT key, {crc_sql('key')} AS crc FROM (SELECT DISTINCT key FROM L), CT) SELECT seq, crc FROM L JOIN C USING (key)")
 def wal_crc(spark, sf_dir):
     return D.mutation_log(spark, sf_dir).select("seq", codec.checksum("key").alias("crc"))
 
@@ -455,7 +467,9 @@ def lsm_block_index(spark, sf_dir):
     return shown(merge.block_index(_blocks(spark, sf_dir)))
 
 
-@query()
+@query(f"""WITH {CRC_TABLE}, K AS (SELECT (c_custkey - 1) // 16 AS block, (c_custkey - 1) % 16 AS pos, lpad(CAST(c_custkey * 7 AS VARCHAR), 12, '0') AS key FROM customer),
+  B AS (SELECT block, count(*) AS records, CAST(ceil(count(*) / 16.0) AS BIGINT) AS restarts, min(key) AS first_key, max(key) AS last_key, string_agg(hex(encode(key)), '' ORDER BY pos) AS body FROM K GROUP BY block)
+  SELECT block, records, restarts, first_key, last_key, {crc_sql('body')} AS crc FROM B, CT""")
 def lsm_block_report(spark, sf_dir):
     return shown(recovery.block_report(_blocks(spark, sf_dir)))
 

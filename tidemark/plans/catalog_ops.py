@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tidemark import cli
 from tidemark.functions import bloom, codec, histogram, workload
 from tidemark.operators import cache, flow, replog
-from tidemark.plans import catalog_kv
+from tidemark.plans import catalog_kv, catalog_store
 from tidemark.plans.catalog_kv import L, LAT, Query, shown
 from tidemark.sources import testdata as D
 
@@ -27,8 +27,54 @@ def query(sql: str | None = None):
 
 # --- Bloom filters and their statistics
 
+_M = "CAST(18446744073709551616 AS UHUGEINT)"
 
-@query()
+
+def _mul(x: str, c: int) -> str:
+    return f"((({x}) * CAST({c} AS UHUGEINT)) % {_M})"
+
+
+def _rot(x: str, n: int) -> str:
+    return f"(((({x}) * CAST({1 << n} AS UHUGEINT)) % {_M}) + (({x}) // CAST({1 << (64 - n)} AS UHUGEINT)))"
+
+
+def _little(text: str, first: int, last: int) -> str:
+    """The bytes first..last of a text as a little-endian number."""
+    return "(" + " + ".join(f"CAST(ord(substr({text}, {i}, 1)) AS UHUGEINT) * CAST({256 ** (i - first)} AS UHUGEINT)" for i in range(first, last + 1)) + ")"
+
+
+def murmur_sql(source: str, low: str, high: str, tail: str | None, length: int) -> str:
+    """CTEs up to H (the rows of `source` with h1, h2): the hash of keys of one length from 16 to 24, as steps on 64-bit numbers."""
+    c1, c2 = int(bloom._C1), int(bloom._C2)
+    final = [0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53]
+    steps = [f"M0 AS (SELECT *, {low} AS k1, {high} AS k2, {tail or 'CAST(0 AS UHUGEINT)'} AS k3 FROM {source})"]
+    steps.append(f"M1 AS (SELECT *, {_mul('k1', c1)} AS x, {_mul('k2', c2)} AS y, {_mul('k3', c1)} AS z FROM M0)")
+    steps.append(f"M2 AS (SELECT * EXCLUDE (x, y, z), {_mul(_rot('x', 31), c2)} AS a0, {_mul(_rot('y', 33), c1)} AS y, {_mul(_rot('z', 31), c2)} AS z FROM M1)")
+    steps.append(f"M3 AS (SELECT * EXCLUDE (a0), ({_rot('a0', 27)} % {_M} * 5 + 1390208809) % {_M} AS a FROM M2)")
+    steps.append(f"M4 AS (SELECT * EXCLUDE (y), (({_rot('y', 31)} + a) % {_M} * 5 + 944331445) % {_M} AS b FROM M3)")
+    steps.append(f"M5 AS (SELECT * EXCLUDE (a, b, z), xor(xor(a, z), CAST({length} AS UHUGEINT)) AS a, xor(b, CAST({length} AS UHUGEINT)) AS b FROM M4)")
+    steps.append(f"M6 AS (SELECT * EXCLUDE (a, b), (a + b) % {_M} AS a, (a + 2 * b) % {_M} AS b FROM M5)")
+    for i, c in enumerate(final):
+        mixed = ", ".join(f"{_mul(f'xor({v}, {v} // CAST({1 << 33} AS UHUGEINT))', c)} AS {v}" for v in "ab")
+        steps.append(f"M{7 + i} AS (SELECT * EXCLUDE (a, b), {mixed} FROM M{6 + i})")
+    steps.append("M9 AS (SELECT * EXCLUDE (a, b), " + ", ".join(f"xor({v}, {v} // CAST({1 << 33} AS UHUGEINT)) AS {v}" for v in "ab") + " FROM M8)")
+    steps.append(f"H AS (SELECT * EXCLUDE (a, b), (a + b) % {_M} AS h1, (a + 2 * b) % {_M} AS h2 FROM M9)")
+    return ", ".join(steps)
+
+
+def _bloom_sql(source: str, inserted: str, length: int) -> str:
+    """CTEs up to A: the rows of `source` (id, key) with maybe, after those where `inserted` went in."""
+    tail = _little("key", 17, length)
+    return (
+        murmur_sql(source, _little("key", 1, 8), _little("key", 9, 16), tail, length)
+        + f", S AS (SELECT CAST(10 * count(*) AS UHUGEINT) AS m FROM H WHERE {inserted})"
+        + ", P AS (SELECT H.*, (h1 % m + CAST(i AS UHUGEINT) * (h2 % m)) % m AS p FROM H, S, range(0, 7) t(i))"
+        + f", W AS (SELECT DISTINCT p AS there FROM P WHERE {inserted})"
+        + ", A AS (SELECT id, bool_and(there IS NOT NULL) AS maybe FROM P LEFT JOIN W ON p = there GROUP BY id)"
+    )
+
+
+@query(f"WITH K AS (SELECT c_custkey AS id, c_name AS key FROM customer), {_bloom_sql('K', 'id % 2 = 0', 18)} SELECT id AS c_custkey, id % 2 = 0 AS inserted, maybe FROM A")
 def bloom_build_probe(spark, sf_dir):
     """Keys of even customers go in, all are asked: (c_custkey, inserted, maybe)."""
     c = D.table(spark, sf_dir, "customer").select("c_custkey", F.encode("c_name", "UTF-8").alias("key"))
@@ -38,7 +84,8 @@ def bloom_build_probe(spark, sf_dir):
     return found.select("c_custkey", (F.col("c_custkey") % 2 == 0).alias("inserted"), "maybe")
 
 
-@query()
+@query(f"""WITH K AS (SELECT id, CASE WHEN id < 20000 THEN 'insert:' || lpad(CAST(id AS VARCHAR), 10, '0') ELSE 'absent:' || lpad(CAST(id - 20000 AS VARCHAR), 10, '0') END AS key FROM range(0, 40000) t(id)),
+  {_bloom_sql('K', 'id < 20000', 17)} SELECT count(*) FILTER (id < 20000 AND NOT maybe) AS false_negatives, count(*) FILTER (id >= 20000 AND maybe) AS false_positives FROM A""")
 def bloom_rate_experiment(spark, sf_dir):
     return bloom.rate_experiment(spark, 20_000, 20_000)
 
@@ -149,7 +196,10 @@ def workload_lab(spark, sf_dir):
     return workload.lab_operations(spark, 5000, 70)
 
 
-@query()
+@query("""WITH Z AS (SELECT sum(pow(i, -0.99)) AS z FROM range(1, 1001) t(i)), C AS (SELECT z, 1 + pow(0.5, 0.99) AS two, (1 - pow(2.0 / 1000, 0.01)) / (1 - (1 + pow(0.5, 0.99)) / z) AS eta FROM Z),
+  R AS (SELECT id, md5(id || ':42') AS h FROM range(0, 50000) t(id)), U AS (SELECT id, (CAST('0x' || substr(h, 1, 10) AS BIGINT) + 0.5) / 1099511627776.0 AS u, CAST('0x' || substr(h, 11, 8) AS BIGINT) % 100 AS mix FROM R),
+  K AS (SELECT CASE WHEN mix < 80 THEN 'GET' ELSE 'PUT' END AS op, CASE WHEN u * z < 1 THEN 0 WHEN u * z < two THEN 1 ELSE least(999, greatest(0, floor(1000.0 * pow(eta * u - eta + 1, 1 / 0.01)))) END AS rank FROM U, C)
+  SELECT op, count(*) AS n, count(DISTINCT rank) AS keys FROM K GROUP BY op""")
 def workload_mix(spark, sf_dir):
     ops = workload.operations(spark, 50_000, 1000)
     return ops.groupBy("op").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("key").alias("keys"))
@@ -166,20 +216,26 @@ def _trace(spark, sf_dir):
     return D.table(spark, sf_dir, "events").select(F.col("event_id").alias("pos"), (F.col("user_id") % 16).alias("shard"), F.col("user_id").alias("file_num"), (F.length("event_type") % 3).cast("long").alias("offset"))
 
 
-@query("""WITH T AS (SELECT event_id AS pos, user_id % 16 AS shard, user_id AS f, length(event_type) % 3 AS o FROM events WHERE event_id < 3000), P AS (SELECT *, lag(pos) OVER (PARTITION BY shard, f, o ORDER BY pos) AS prev FROM T),
+def _lru_sql(trace: str, capacity: int, columns: str) -> str:
+    """Hits by shard: an access hits if at most `capacity` different blocks, its own included, were read since it was read last."""
+    return f"""WITH {trace}, P AS (SELECT *, lag(pos) OVER (PARTITION BY shard, f, o ORDER BY pos) AS prev FROM T),
   D AS (SELECT p.shard, p.pos, count(DISTINCT (q.f, q.o)) AS distance FROM P p JOIN T q ON q.shard = p.shard AND q.pos >= p.prev AND q.pos < p.pos WHERE p.prev IS NOT NULL GROUP BY 1, 2)
-  SELECT P.shard, count(*) AS accesses, count(*) FILTER (distance <= 12) AS hits FROM P LEFT JOIN D USING (shard, pos) GROUP BY P.shard""")
-def lru_hit_ratio(spark, sf_dir):
-    return cache.hit_ratio(cache.replay(_trace(spark, sf_dir).filter("pos < 3000"), 12), ["shard"]).select("shard", "accesses", "hits")
+  SELECT shard, {columns} FROM (SELECT P.shard, count(*) AS accesses, count(*) FILTER (distance <= {capacity}) AS hits, count(DISTINCT (f, o)) AS blocks FROM P LEFT JOIN D USING (shard, pos) GROUP BY P.shard)"""
 
 
-@query()
-def lru_hit_ratio_whole(spark, sf_dir):
-    """`lru_hit_ratio` over all events; its SQL compares all pairs of accesses and so has the first 3,000 only."""
+@query(_lru_sql("T AS (SELECT event_id AS pos, user_id % 16 AS shard, user_id AS f, length(event_type) % 3 AS o FROM events)", 12, "accesses, hits"))
+def lru_hit_ratio(spark, sf_dir):
     return cache.hit_ratio(cache.replay(_trace(spark, sf_dir), 12), ["shard"]).select("shard", "accesses", "hits")
 
 
-@query()
+_EIGHT_BYTES = "CAST({} AS UHUGEINT)"
+
+
+@query(_lru_sql(
+    "X AS (SELECT event_id AS pos, user_id AS f, length(event_type) % 3 AS o FROM events), "
+    + murmur_sql("X", _EIGHT_BYTES.format("f"), _EIGHT_BYTES.format("o"), None, 16)
+    + ", T AS (SELECT pos, f, o, CAST((h1 // 268435456) % 16 AS BIGINT) AS shard FROM H)", 4,
+    "accesses, hits, accesses - hits - least(4, blocks) AS evictions, hits / CAST(accesses AS DOUBLE) AS hit_ratio"))
 def lru_sharded(spark, sf_dir):
     return cache.hit_ratio(cache.replay(cache.with_shard(_trace(spark, sf_dir).drop("shard")), 4), ["shard"])
 
@@ -282,10 +338,32 @@ def secrets_masked(spark, sf_dir):
     return D.table(spark, sf_dir, "customer").select("c_custkey", codec.masked("c_name").alias("masked"))
 
 
-@query("SELECT c_custkey, '[REDACTED]' AS password, c_name AS name FROM customer")
+#: Names that must be hidden, and near misses that must not.
+HIDDEN_NAMES = (
+    "password User_Password dbPasswd pass_word p_wd pwd user.pwd passphrase user_pass my_pass_old pass clientSecret secret-key token authToken access_token auth user_auth auth_header "
+    "masterKey signing_key encryption-key API-Key apiKey private-key privatekey credentials session session_id SESSIONID user_session Set-Cookie Authorization card cvv CVC ssn salt "
+    "nonce mnemonic wallet_seed X-API-KEY HTTPCookie"
+).split()
+SHOWN_NAMES = "name author authority authenticate tokenizer tokens passenger compass sessions discard salted seedling key monkey keyboard cardinal noncense path_passed api".split()
+
+
+@query("SELECT n_nationkey, field, CASE WHEN hidden THEN '[REDACTED]' ELSE n_name END AS value FROM nation, (VALUES " + ", ".join(f"('{n}', {str(n in HIDDEN_NAMES).lower()})" for n in HIDDEN_NAMES + SHOWN_NAMES) + ") t(field, hidden)")
 def log_scrubbing(spark, sf_dir):
-    c = D.table(spark, sf_dir, "customer").withColumn("m", F.create_map(F.lit("User_Password"), F.col("c_name"), F.lit("name"), F.col("c_name")))
-    return c.withColumn("m", codec.scrubbed("m")).select("c_custkey", F.col("m")["User_Password"].alias("password"), F.col("m")["name"].alias("name"))
+    fields = F.map_from_arrays(F.array(*map(F.lit, HIDDEN_NAMES + SHOWN_NAMES)), F.array_repeat("n_name", len(HIDDEN_NAMES + SHOWN_NAMES)))
+    n = D.table(spark, sf_dir, "nation").withColumn("m", fields)
+    return n.withColumn("m", codec.scrubbed("m")).select("n_nationkey", F.explode("m").alias("field", "value"))
+
+
+@query("""SELECT n_nationkey, CASE n_nationkey % 4 WHEN 0 THEN 'login token=[REDACTED], of ' || n_name WHEN 1 THEN 'sent Bearer [REDACTED] now' WHEN 2 THEN 'author: ' || n_name ELSE 'db.Password=[REDACTED] ok' END AS line FROM nation""")
+def log_line_scrubbing(spark, sf_dir):
+    n = F.col("n_nationkey") % 4
+    line = (
+        F.when(n == 0, F.concat(F.lit("login token = abc"), "n_nationkey", F.lit(", of "), "n_name"))
+        .when(n == 1, F.concat(F.lit("sent Bearer x.y-"), "n_nationkey", F.lit(" now")))
+        .when(n == 2, F.concat(F.lit("author: "), "n_name"))
+        .otherwise(F.concat(F.lit("db.Password:"), F.lit("hunter"), "n_nationkey", F.lit(" ok")))
+    )
+    return D.table(spark, sf_dir, "nation").select("n_nationkey", codec.scrubbed_text(line).alias("line"))
 
 
 @query(f"WITH {L} SELECT seq, '[REDACTED len=' || strlen(key) || ']' AS key FROM L")
@@ -293,13 +371,16 @@ def key_redaction(spark, sf_dir):
     return D.mutation_log(spark, sf_dir).select("seq", codec.redacted().alias("key"))
 
 
-@query()
+@query("""WITH B AS (SELECT n_nationkey, n_name, n_nationkey * 7 AS b FROM nation)
+  SELECT n_nationkey, CASE WHEN b BETWEEN 32 AND 126 THEN n_name || chr(CAST(b AS INTEGER)) ELSE '"' || n_name || '\\x' || printf('%02x', b) || '"' END AS shown FROM B""")
 def value_rendering(spark, sf_dir):
     n = D.table(spark, sf_dir, "nation").select("n_nationkey", F.concat(F.encode("n_name", "UTF-8"), F.unhex(F.lpad(F.hex((F.col("n_nationkey") * 7).cast("long")), 2, "0"))).alias("v"))
     return n.select("n_nationkey", codec.shown("v").alias("shown"))
 
 
-@query()
+@query("""WITH N AS (SELECT n_nationkey, n_name, n_nationkey % 4 AS k, n_name LIKE '% %' AS two FROM nation)
+  SELECT n_nationkey, CASE k WHEN 0 THEN 'PUT' WHEN 1 THEN CASE WHEN NOT two THEN 'GET' END WHEN 2 THEN 'BATCH' END AS kind, CASE k WHEN 0 THEN 'k ' || n_name WHEN 1 THEN CASE WHEN NOT two THEN n_name END END AS key,
+    CASE k WHEN 0 THEN 'vA' END AS value, CAST(CASE k WHEN 2 THEN 2 ELSE 0 END AS BIGINT) AS operations, CASE WHEN k = 1 AND two THEN 'GET takes 1 arguments' WHEN k = 3 THEN 'PUT takes 2 arguments' END AS error FROM N""")
 def cli_commands(spark, sf_dir):
     n = F.col("n_nationkey")
     line = F.when(n % 4 == 0, F.concat(F.lit("put 'k "), F.col("n_name"), F.lit("' \"v\\x41\""))).when(n % 4 == 1, F.concat(F.lit("GET "), "n_name")).when(n % 4 == 2, "BATCH PUT a b DELETE c").otherwise("PUT onlykey")
@@ -359,12 +440,14 @@ def raft_conflict_truncation(spark, sf_dir):
     return replog.reconcile(local, new).select("log", F.col("index").alias("idx"), "term")
 
 
-@query(f"WITH {L}, A AS (SELECT *, event_id // 3 AS idx, event_id % 3 AS pos FROM L WHERE event_id // 3 <= 1500 AND event_id // 3 % 10 <> 0), N AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY idx DESC, pos DESC) AS rn FROM A) SELECT key, idx * 1024 + pos AS seq, value FROM N WHERE rn = 1 AND op = 1")
+@query(f"WITH {L}, A AS (SELECT *, event_id // 3 AS idx, event_id % 3 AS pos FROM L WHERE event_id // 3 <= (SELECT max(event_id) // 3 * 9 // 10 FROM L) AND event_id // 3 % 10 <> 0), N AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY idx DESC, pos DESC) AS rn FROM A) SELECT key, idx * 1024 + pos AS seq, value FROM N WHERE rn = 1 AND op = 1")
 def raft_apply_state(spark, sf_dir):
+    """The state where nine tenths of the entries are committed."""
     e = D.mutation_log(spark, sf_dir).withColumn("index", F.expr("event_id div 3"))
     ops = F.transform(F.sort_array(F.collect_list(F.struct("event_id", "op", "key", "value"))), lambda x: F.struct(x["op"].alias("op"), x["key"].alias("key"), x["value"].alias("value")))
     entries = e.groupBy("index").agg(ops.alias("ops")).withColumn("type", F.when(F.col("index") % 10 == 0, "noop").otherwise("batch"))
-    return shown(replog.applied(entries, 1500))
+    last = D.table(spark, sf_dir, "events").agg(F.expr("max(event_id) div 3")).first()[0] or 0
+    return shown(replog.applied(entries, last * 9 // 10))
 
 
 @query("""WITH A AS (SELECT user_id % 10 AS g, ts, event_id AS applied FROM events WHERE event_type <> 'view'), R AS (SELECT user_id % 10 AS g, ts, event_id AS read_id, event_id - event_id % 400 AS read_index FROM events WHERE event_type = 'view'),
@@ -415,8 +498,8 @@ def topology_problems(spark, sf_dir):
 
 
 def all_queries() -> dict[str, Query]:
-    return catalog_kv.QUERIES | QUERIES
+    return catalog_kv.QUERIES | catalog_store.QUERIES | QUERIES
 
 
 def all_sql() -> dict[str, str]:
-    return catalog_kv.SQL | SQL
+    return catalog_kv.SQL | catalog_store.SQL | SQL

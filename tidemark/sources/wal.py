@@ -59,9 +59,13 @@ def _one(data: bytes, at: int) -> tuple:
 
 def read_segments(spark: SparkSession, path: str) -> DataFrame:
     """Records of all `wal_NNNNNNNNNNNN.log` files below `path`, a segment a task; segments are bounded in size when written."""
-    ship(spark)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "wal_*.log").option("recursiveFileLookup", True).load(path)
-    named = files.select(F.regexp_extract("path", r"wal_([0-9]{12})\.log$", 1).cast("long").alias("segment"), "content").filter("segment is not null")
+    return decoded(files.select(F.regexp_extract("path", r"wal_([0-9]{12})\.log$", 1).cast("long").alias("segment"), "content").filter("segment is not null"))
+
+
+def decoded(segments: DataFrame) -> DataFrame:
+    """Records of `segments` (segment, content), each up to the first that is not ok."""
+    ship(segments.sparkSession)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cols = [c.split()[0] for c in _SCHEMA.split(", ")]
@@ -69,7 +73,20 @@ def read_segments(spark: SparkSession, path: str) -> DataFrame:
             for segment, content in zip(f["segment"], f["content"], strict=True):
                 yield pd.DataFrame([(segment, *r) for r in decode(bytes(content))], columns=cols).astype({"type": "Int32", "seq": "Int64", "ts_ns": "Int64"})
 
-    return named.mapInPandas(run, _SCHEMA)
+    return segments.select("segment", "content").mapInPandas(run, _SCHEMA)
+
+
+def encoded(records: DataFrame) -> DataFrame:
+    """(segment, content) of records (segment, type, seq, ts_ns, key, value): frames in order of seq. A segment, bounded in size by
+    rotation, is built in one task."""
+    ship(records.sparkSession)
+
+    def run(f: pd.DataFrame) -> pd.DataFrame:
+        rows = f.sort_values("seq")[["type", "seq", "ts_ns", "key", "value"]].itertuples(index=False)
+        body = b"".join(encode(int(t), int(n), int(at), bytes(k or b""), bytes(v or b"")) for t, n, at, k, v in rows)
+        return pd.DataFrame({"segment": [f["segment"].iloc[0]], "content": [body]})
+
+    return records.select("segment", "type", "seq", "ts_ns", "key", "value").groupBy("segment").applyInPandas(run, "segment long, content binary")
 
 
 def rotate(sizes: list[int], limit: int = S.SEGMENT_BYTES) -> list[int]:
