@@ -106,6 +106,14 @@ def test_ngram_join(spark):
     assert Counter((r["id"], r["n"], r["component"]) for r in got.collect()) == want
 
 
+def test_equal_keys_of_different_texts_are_told_apart(spark):
+    """With keys of few bits nearly all texts share one with others; the results stay."""
+    docs = frame(spark, with_oddities(corpus(30)))
+    for call, columns in ((ngram_join.join_components, ("id", "n", "component")), (suffix_dedup.repeated_spans, ("id", "n_bytes", "n_removed", "n_spans", "kept_sha256"))):
+        want, got = (Counter(tuple(r[c] for c in columns) for r in call(docs, key_bits=bits).collect()) for bits in (64, 4))
+        assert want == got
+
+
 def test_later_links_find_what_tiles_miss(spark):
     """Without any help of tiles the join on prefix tokens alone finds every link."""
     import numpy as np

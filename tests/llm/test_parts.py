@@ -261,3 +261,33 @@ def test_extract_rows(spark):
     assert len(got) == 14 and all(r["n_chars"] == len(r["text"]) for r in got)
     assert Counter(r["page_id"] for r in got)[3] == 2 and next(r["text"] for r in got if r["page_id"] is None) == ""
     assert html_extract.extract(df.limit(0)).count() == 0
+
+
+def test_runs_of_hot_anchors_are_cut_by_what_stands_around():
+    """Cut runs hold the same windows, equal windows keep one name, and the comparison by name finds what brute force finds."""
+    rng = random.Random(6)
+    line = "the line that nearly every text has"
+    texts = [f"{prose(rng, 12)} {line}{rng.choice([' and more of it', ', or not,', ''])} {prose(rng, 12)}" for _ in range(60)] + ["ab" * 80, "x" * 120, "ab" * 90]
+    data, offsets = suffix_dedup.buffers(pa.array(texts, pa.large_string()))
+    doc, first, windows, anchor = suffix_dedup.anchor_runs(data, offsets)
+    hot = np.arange(len(doc)) % 5 > 0
+    same = {int(a): bool(h) for a, h in zip(anchor, hot, strict=True)}
+    hot = np.array([same[int(a)] for a in anchor])  # an anchor is hot everywhere or nowhere
+    d, f, w, name = suffix_dedup._cut_hot(data, doc, first, windows, anchor, hot)
+    starts = lambda doc, first, windows: sorted((int(x), int(a) + k) for x, a, n in zip(doc, first, windows, strict=True) for k in range(n))
+    assert starts(d, f, w) == starts(doc, first, windows) and len(d) > len(doc) and w[-1] <= suffix_dedup.PLACES
+    raw = data.tobytes()
+    names: dict = {}
+    owners: dict = {}
+    for x, a, n, k in zip(d.tolist(), f.tolist(), w.tolist(), name.tolist(), strict=True):
+        for p in range(a, a + n):
+            assert names.setdefault(raw[p : p + 50], k) == k
+            owners.setdefault(raw[p : p + 50], set()).add(x)
+    order = np.argsort(name, kind="stable")
+    size = w[order] + 49
+    begin = np.r_[0, np.cumsum(size)[:-1]]
+    flat = data[np.repeat(f[order] - begin, size) + np.arange(size.sum())]
+    row, lo, hi = suffix_dedup._again(flat, begin, w[order], name[order], d[order].astype(np.int64), np.arange(len(order)))
+    got = {(int(d[order][r]), int(f[order][r]) + k) for r, a, b in zip(row, lo, hi, strict=True) for k in range(a, b + 1)}
+    want = {(x, a + k) for x, a, n in zip(d.tolist(), f.tolist(), w.tolist(), strict=True) for k in range(n) if min(owners[raw[a + k : a + k + 50]]) < x}
+    assert got == want and len(want) > 100

@@ -78,6 +78,28 @@ class Layout:
         return np.uint64((bucket >> (self.bits - self.top)) << (64 - self.top)) | low
 
 
+def collisions(narrow: DataFrame) -> frozenset[int]:
+    """Keys of `narrow` (key, check) that stand for different contents, told by a second hash of 64 bits.
+
+    At n distinct contents some n**2 / 2**65 keys are expected, 70 for fifty billion texts, so they fit the driver and a broadcast.
+    """
+    per = narrow.groupBy("key").agg(F.min("check").alias("lo"), F.max("check").alias("hi"))
+    return frozenset(r[0] for r in per.filter("lo <> hi").select("key").collect())
+
+
+def apart(keys: np.ndarray, checks: np.ndarray, bad: frozenset[int]) -> np.ndarray:
+    """`keys`, with the second hash in place of those that several contents share."""
+    if not bad:
+        return keys
+    swap = np.isin(keys, np.fromiter(bad, np.int64, len(bad)))
+    return np.where(swap & (checks != 0), checks, keys)
+
+
+def apart_column(bad: frozenset[int]) -> F.Column:
+    """The same for a frame with key and check."""
+    return F.when(F.col("key").isin(*bad) & (F.col("check") != 0), F.col("check")).otherwise(F.col("key")) if bad else F.col("key")
+
+
 def runs(values: np.ndarray) -> list[tuple[int, int]]:
     """Start and end of each run of equal neighbours."""
     if not len(values):

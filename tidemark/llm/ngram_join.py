@@ -20,6 +20,8 @@ SHINGLE = 5
 LINK, PER = 75, 100
 #: Sets of one tile at the most.
 TILE = 4096
+#: Sets of a group, and of its visitors, that one comparison between groups takes.
+PART, VISITORS = 256, 4096
 #: Tiles that each set takes part in before the join on prefix tokens.
 ROUNDS = 2
 #: Bits of a signature.
@@ -41,28 +43,27 @@ def shingle_sets(texts: pa.Array) -> list[np.ndarray]:
     return out
 
 
-def set_keys(sets: list[np.ndarray]) -> np.ndarray:
-    """A key of each set (never 0), and 0 for the empty one."""
+def set_hashes(sets: list[np.ndarray], bits: int = 64) -> tuple[np.ndarray, np.ndarray]:
+    """A key of each set (its low `bits`; never 0, and 0 for the empty one) and a second hash."""
     with np.errstate(over="ignore"):
-        keys = np.array([mix(s + np.uint64(0x1F83D9ABFB41BD6B)).sum(dtype=np.uint64) if len(s) else 0 for s in sets], np.uint64)
+        keys, checks = (np.array([mix(s + np.uint64(k)).sum(dtype=np.uint64) if len(s) else 0 for s in sets], np.uint64) for k in (0x1F83D9ABFB41BD6B, 0xCBBB9D5DC1059ED8))
+    keys &= np.uint64((1 << bits) - 1)
     keys[(keys == 0) & np.array([len(s) > 0 for s in sets], bool)] = 1
-    return keys.view(np.int64)
+    return keys.view(np.int64), checks.view(np.int64)
 
 
-def _keys(texts: pa.Array) -> np.ndarray:
-    return set_keys(shingle_sets(texts))
-
-
-def _narrow(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
+def _narrow(docs: DataFrame, id_column: str, text_column: str, key_bits: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in pieces(batch, 1):
                 sets = shingle_sets(piece.column(1))
                 size = np.diff(buffers(piece.column(1))[1])
-                yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(2), pa.array(set_keys(sets)), pa.array([len(s) for s in sets], pa.int64()), pa.array(size)], names=["id", "uid", "key", "n", "bytes"])
+                keys, checks = set_hashes(sets, key_bits)
+                columns = [piece.column(0), piece.column(2), pa.array(keys), pa.array(checks), pa.array([len(s) for s in sets], pa.int64()), pa.array(size)]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "uid", "key", "check", "n", "bytes"])
 
     df = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"), F.monotonically_increasing_id().alias("uid"))
-    return df.mapInArrow(run, f"id {df.schema['id'].dataType.simpleString()}, uid long, key long, n long, bytes long")
+    return df.mapInArrow(run, f"id {df.schema['id'].dataType.simpleString()}, uid long, key long, check long, n long, bytes long")
 
 
 def least_overlap(n: np.ndarray | int) -> np.ndarray | int:
@@ -70,14 +71,14 @@ def least_overlap(n: np.ndarray | int) -> np.ndarray | int:
     return -(-n * LINK // PER)
 
 
-def candidates(docs: DataFrame, id_column: str, text_column: str, layout: blocks.Layout) -> DataFrame:
+def candidates(docs: DataFrame, id_column: str, text_column: str, layout: blocks.Layout, bad: frozenset[int] = frozenset(), key_bits: int = 64) -> DataFrame:
     """(key, n, tokens, prefix, tiles) of the distinct sets that can link with another one.
 
     In the order of (number of sets that have it, hash), the first n - least_overlap(n) + 1 tokens of two sets that link meet. A
     token of one set alone meets nothing, so a set with that many of them leaves; of the others, the tokens that several sets have
     are enough to count overlaps. `prefix` has the rest of those first tokens, `tiles` the least tokens by ROUNDS other hashes.
     """
-    dealt = blocks.deal(docs, id_column, text_column, _keys, layout)
+    dealt = blocks.deal(docs, id_column, text_column, lambda texts: blocks.apart(*set_hashes(shingle_sets(texts), key_bits), bad), layout)
 
     def count(table: pa.Table) -> pa.Table:
         sets = shingle_sets(blocks.texts_of(table)[2])
@@ -204,7 +205,8 @@ def later_links(found: DataFrame) -> DataFrame:
 
     Sets of two groups that link meet in a prefix token. For each such token the sets of every group visit the smaller-numbered
     groups where sizes and positions allow a link: from their first common token on, both sets must hold the overlap that their
-    sizes ask for. A visit compares one set with the sets of a group, TILE of them at a time, and one link is enough.
+    sizes ask for. A visit compares one set with the sets of a group, PART of them at a time and beside VISITORS others, and one link
+    is enough.
     """
     spark = found.sparkSession
 
@@ -229,11 +231,14 @@ def later_links(found: DataFrame) -> DataFrame:
     allowed = F.expr(f"home < comp and hi * {PER} >= n * {LINK} and lo * {LINK} <= n * {PER} and least(reach, far) * {PER + LINK} >= (n + lo) * {LINK}")
     visits = scratch.table(met.join(groups, "token").filter(allowed).select("key", "comp", "home").distinct(), "visits")
     sizes = found.groupBy("comp").agg(F.count(F.lit(1)).alias("members"))
-    homes = visits.select("home").distinct().join(sizes, F.col("home") == F.col("comp")).select("home", F.ceil(F.col("members") / TILE).alias("parts"))
+    coming = visits.groupBy("home").agg(F.count(F.lit(1)).alias("coming"))
+    homes = coming.join(sizes, F.col("home") == F.col("comp")).select("home", F.ceil(F.col("members") / PART).alias("parts"), F.ceil(F.col("coming") / VISITORS).alias("turns"))
     homes = scratch.table(homes, "homes")
-    members = found.join(homes, F.col("comp") == F.col("home")).select("home", F.pmod(F.xxhash64("key"), F.col("parts")).alias("part"), F.lit(None).cast("long").alias("comp"), "key", "n", "tokens")
+    # A group's sets and their visitors meet in cells (part, turn): each set in one part, each visitor in one turn.
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    members = found.join(homes, F.col("comp") == F.col("home")).select("home", F.pmod(F.xxhash64("key"), F.col("parts")).alias("part"), every("turns").alias("turn"), F.lit(None).cast("long").alias("comp"), "key", "n", "tokens")
     arriving = visits.join(homes, "home").join(found.select("key", "n", "tokens"), "key")
-    arriving = arriving.select("home", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), "comp", "key", "n", "tokens")
+    arriving = arriving.select("home", every("parts").alias("part"), F.pmod(F.xxhash64("key"), F.col("turns")).alias("turn"), "comp", "key", "n", "tokens")
 
     def compare(table: pa.Table) -> pa.Table:
         home = table.column("home")[0].as_py()
@@ -250,27 +255,30 @@ def later_links(found: DataFrame) -> DataFrame:
         return pa.table({"a": pa.array([home] * len(joined), pa.int64()), "b": pa.array(sorted(joined), pa.int64())})
 
     both = members.unionByName(arriving)
-    return scratch.table(both.groupBy("home", "part").applyInArrow(compare, "a long, b long"), "links")
+    return scratch.table(both.groupBy("home", "part", "turn").applyInArrow(compare, "a long, b long"), "links")
 
 
-def join_components(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def join_components(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", key_bits: int = 64) -> DataFrame:
     """(id, uid, n, component): a row for each row of `docs`, with the size of its set and the smallest id it is connected with.
 
     A set holds the distinct runs of SHINGLE words (`[^\\x20\\x09-\\x0D]+` after A-Z were lower-cased), or the one run of all words
     if they are fewer. Rows with equal sets are one class and travel as one; links between classes are exact: no candidate is
     dropped and none is sampled. Rows without words, and null texts, have an empty set, size 0, and are their own component. Null
     ids never are a component's smallest id unless it has no other. Repeated rows each give a row; other columns are not read.
+    Sets are named by 64 bits of a hash (`key_bits`), and by 64 others where different sets share a name.
     """
-    return _components(docs, id_column, text_column).drop("root")
+    return _components(docs, id_column, text_column, key_bits).drop("root")
 
 
-def _components(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
+def _components(docs: DataFrame, id_column: str, text_column: str, key_bits: int = 64) -> DataFrame:
     """`join_components` with root, the smallest key of the component's sets, which tells components apart where ids repeat; null without words."""
     ship(docs.sparkSession)
-    narrow = scratch.table(_narrow(docs, id_column, text_column), "sets")
+    narrow = scratch.table(_narrow(docs, id_column, text_column, key_bits), "sets")
     total = narrow.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
     layout = blocks.Layout(total)
-    found = scratch.table(candidates(docs, id_column, text_column, layout), "candidates")
+    bad = blocks.collisions(narrow)
+    narrow = narrow.withColumn("key", blocks.apart_column(bad)).drop("check")
+    found = scratch.table(candidates(docs, id_column, text_column, layout, bad, key_bits), "candidates")
     grouped = scratch.table(first_groups(found), "groups")
     merged = connected_components(later_links(grouped), "a", "b")
     final = grouped.select("key", "comp").join(merged, F.col("comp") == F.col("node"), "left").select("key", F.coalesce("root", "comp").alias("root"))

@@ -20,13 +20,15 @@ LENGTH = 50
 ANCHOR = 24
 
 
-def content_keys(texts: pa.Array) -> np.ndarray:
-    """A key of each text from the SHA-256 of its bytes; never 0."""
+def content_hashes(texts: pa.Array, bits: int = 64) -> tuple[np.ndarray, np.ndarray]:
+    """A key of each text (its low `bits`; never 0) and a second hash, from the SHA-256 of its bytes."""
     data, offsets = buffers(texts)
     view = memoryview(data)
-    keys = np.array([int.from_bytes(hashlib.sha256(view[a:b]).digest()[:8], "little", signed=True) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)], np.int64)
+    digests = b"".join(hashlib.sha256(view[a:b]).digest()[:16] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True))
+    both = np.frombuffer(digests, "<u8").reshape(-1, 2)
+    keys = (both[:, 0] & np.uint64((1 << bits) - 1)).view(np.int64)
     keys[keys == 0] = 1
-    return keys
+    return keys, both[:, 1].view(np.int64)
 
 
 class Prefix:
@@ -196,6 +198,8 @@ def _anchors(table: pa.Table, layout: blocks.Layout) -> pa.Table:
 
 #: Buckets of contexts are finer than those of anchors by this power of two.
 FINER = 2
+#: An anchor of more texts is cut up by the bytes around it, for windows whose anchor stands at one of so many neighbouring places in them.
+HOT, PLACES = 2_048, 7
 #: Windows that one suffix sort handles (more only where one anchor has more).
 SORT_WINDOWS = 1 << 18
 
@@ -227,6 +231,40 @@ def _ranges(block: np.ndarray, key: np.ndarray, start: np.ndarray, end: np.ndarr
     return [(int(block[by[i]]), blocks.pack(*(x[by[i:j]].astype(np.int64) for x in (key, start, end)), compress=True)) for i, j in blocks.runs(block[by])]
 
 
+def _cut_hot(data: np.ndarray, doc: np.ndarray, first: np.ndarray, windows: np.ndarray, anchor: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The runs (text, first window, windows, anchor), those of hot anchors cut by the place of the anchor in the window.
+
+    Windows with the anchor at one of PLACES neighbouring places have LENGTH - PLACES + 1 bytes around it in common, whose hash takes
+    the anchor's part. Equal windows have their anchor at one place, so they meet again; others of the anchor part.
+    """
+    if not hot.any():
+        return doc, first, windows, anchor
+    rows, reach = np.flatnonzero(hot), LENGTH - ANCHOR
+    prefix = Prefix(data)
+    size = windows[rows] + reach
+    base = np.r_[0, np.cumsum(size)[:-1]]
+    flat = np.arange(size.sum())
+    owner = np.repeat(np.arange(len(rows)), size)
+    at = first[rows][owner] + flat - base[owner]
+    its = mix(prefix.of(at, at + ANCHOR)) == anchor[rows][owner]
+    following = np.minimum.accumulate(np.where(its, flat, len(flat))[::-1])[::-1]
+    is_start = flat - base[owner] < windows[rows][owner]
+    start, place, run = at[is_start], (following - flat)[is_start], owner[is_start]
+    group = place // PLACES
+    middle = start + place - group * PLACES
+    new = np.r_[True, (run[1:] != run[:-1]) | (middle[1:] != middle[:-1]) | (group[1:] != group[:-1])]
+    head = np.flatnonzero(new)
+    n = np.diff(np.r_[head, len(start)])
+    name = mix(prefix.of(middle[head], middle[head] + LENGTH - PLACES + 1) + group[head].astype(np.uint64))
+    cold = ~hot
+    return (
+        np.r_[doc[cold], doc[rows[run[head]]]],
+        np.r_[first[cold], start[head]],
+        np.r_[windows[cold], n],
+        np.r_[anchor[cold], name],
+    )
+
+
 def _contexts(left: pa.Table, right: pa.Table, layout: blocks.Layout) -> pa.Table:
     """The bytes around each anchor that several texts have, with the text's key and id, by bucket.
 
@@ -237,8 +275,9 @@ def _contexts(left: pa.Table, right: pa.Table, layout: blocks.Layout) -> pa.Tabl
     keys, ids, texts = blocks.texts_of(left)
     data, offsets = buffers(texts)
     doc, first, windows, anchor = anchor_runs(data, offsets)
-    hit = np.flatnonzero(blocks.lookup(layout.ident(anchor), known, counts) > 1)
-    doc, first, windows, anchor = doc[hit], first[hit], windows[hit], anchor[hit]
+    texts_with = blocks.lookup(layout.ident(anchor), known, counts)
+    hit = np.flatnonzero(texts_with > 1)
+    doc, first, windows, anchor = _cut_hot(data, doc[hit], first[hit], windows[hit], anchor[hit], texts_with[hit] > HOT)
     order, head, is_head = _classes(data, first, windows, anchor, ids[doc])
     again = order[~is_head & (ids[doc[order]] > ids[doc[head]])]
     goes = np.ones(len(doc), bool)
@@ -291,6 +330,7 @@ def _again(data: np.ndarray, begin: np.ndarray, windows: np.ndarray, anchor: np.
     grams = np.arange(len(its))
     following = np.minimum.accumulate(np.where(its, grams, len(local))[::-1])[::-1]
     place = following[start[pick]] - start[pick]
+    place[place > LENGTH - ANCHOR] = 0  # runs of hot anchors go by the hash of other bytes
     group = np.cumsum(np.r_[False, anchor[rows[1:]] != anchor[rows[:-1]]])[owner[pick]]
     order = np.lexsort((place, group))
     g, p = group[order], place[order]
@@ -360,17 +400,18 @@ def _finish(left: pa.Table, right: pa.Table) -> pa.Table:
     return pa.table([pa.array(list(c), t) for c, t in zip(list(zip(*rows, strict=True)) or [()] * 7, kinds, strict=True)], names=[x.split()[0] for x in _RESULT.split(", ")])
 
 
-def _narrow(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
+def _narrow(docs: DataFrame, id_column: str, text_column: str, key_bits: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in pieces(batch, 1):
                 size = np.diff(buffers(piece.column(1))[1])
-                yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(content_keys(piece.column(1))), pa.array(size)], names=["id", "key", "bytes"])
+                keys, checks = content_hashes(piece.column(1), key_bits)
+                yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(keys), pa.array(checks), pa.array(size)], names=["id", "key", "check", "bytes"])
 
-    return docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text")).mapInArrow(run, "id long, key long, bytes long")
+    return docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text")).mapInArrow(run, "id long, key long, check long, bytes long")
 
 
-def repeated_spans(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def repeated_spans(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", key_bits: int = 64) -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept_sha256, spans), a row for each row of `docs`: the bytes covered by a string of LENGTH
     bytes that also starts in a row of a smaller id. `spans` holds the removed ranges, as 64-bit numbers start, end, start, end, ...
 
@@ -378,15 +419,20 @@ def repeated_spans(docs: DataFrame, id_column: str = "doc_id", text_column: str
     nothing from each other. Copies of a text travel as one with the smallest id; a copy of a larger id is removed as a whole (if it
     has LENGTH bytes). Nothing is capped; columns other than the two are not read.
 
+    Texts are named by 64 bits of a hash (`key_bits`), and by 64 others where different texts share a name.
+
     1. Texts are dealt out in blocks. In each window of LENGTH bytes the anchor of least hash stands for the window, and anchors in
-    one text alone are sorted out. 2. The windows of the others meet by anchor; there the suffix sort finds equal ones. 3. Back in
+    one text alone are sorted out. 2. The windows of the others meet by anchor; there the suffix sort finds equal ones; windows of
+    an anchor that very many texts have meet by more of their bytes. 3. Back in
     the blocks, ranges are united.
     """
     ship(docs.sparkSession)
-    narrow = scratch.table(_narrow(docs, id_column, text_column), "contents")
+    narrow = scratch.table(_narrow(docs, id_column, text_column, key_bits), "contents")
     total = narrow.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
     layout = blocks.Layout(total)
-    dealt = blocks.deal(docs, id_column, text_column, content_keys, layout).groupBy("block")
+    bad = blocks.collisions(narrow)
+    narrow = narrow.withColumn("key", blocks.apart_column(bad)).drop("check")
+    dealt = blocks.deal(docs, id_column, text_column, lambda texts: blocks.apart(*content_hashes(texts, key_bits), bad), layout).groupBy("block")
     anchors = dealt.applyInArrow(lambda t: _anchors(t, layout), "bucket long, payload binary")
     shared = blocks.shared_tokens(anchors, layout)
     contexts = dealt.cogroup(shared.groupBy("block")).applyInArrow(lambda a, b: _contexts(a, b, layout), "bucket long, payload binary")
