@@ -226,7 +226,7 @@ def _tags(t: Tokens, found: list[tuple[int, int, int, int, int]]) -> np.ndarray:
 def _sequences(t: Tokens, y: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     for a, b in zip(t.first[:-1].tolist(), t.first[1:].tolist(), strict=True):
         for k in range(a, b, SEQUENCE):
-            yield t.features[k : min(b, k + SEQUENCE)], y[k : min(b, k + SEQUENCE)]
+            yield t.features[k : min(b, k + SEQUENCE)].astype(np.int16), y[k : min(b, k + SEQUENCE)].astype(np.int8)
 
 
 #: Kinds of secrets that are planted, by alphabet and lengths; the last kind is short and stands after a word as in CONTEXT only.
@@ -270,7 +270,7 @@ def _plain_token(rng: np.random.Generator, words: list[str]) -> str:
     return kinds[int(rng.integers(len(kinds)))]()
 
 
-def planted(texts: list[str], known: list[str], rng: np.random.Generator) -> tuple[list[str], list[tuple[int, int, int, int, int]]]:
+def planted(texts: list[str], known: list[str], rng: np.random.Generator, runs: range) -> tuple[list[str], list[tuple[int, int, int, int, int]]]:
     """Runs of words of `texts`, repeated where a text has too few, with secrets planted in three of four, and their spans as `base_spans` gives them.
 
     A secret is one of `known` (what the patterns matched) or is made by PLANTED; it stands alone, in quotes, or a few words after a
@@ -280,7 +280,7 @@ def planted(texts: list[str], known: list[str], rng: np.random.Generator) -> tup
     found: list[tuple[int, int, int, int, int]] = []
     at = 0
     pool = [w for t in texts[:200] for w in t[:4000].split() if w.isalpha() and w.isascii()][:20_000] or ["word", "other"]
-    for k in range(PLANTED_TEXTS if texts else 0):
+    for i, k in enumerate(runs):
         words = texts[k % len(texts)].split()
         n = int(np.exp(rng.uniform(*np.log(PLANTED_WORDS))))
         words = (words * min(n, -(-n // max(len(words), 1))))[: max(n, 1)] if len(words) < n else words
@@ -307,7 +307,7 @@ def planted(texts: list[str], known: list[str], rng: np.random.Generator) -> tup
         head = left + b" " + before
         text = (head + secret + after + b" " + right).decode(errors="replace")
         if secret:
-            found.append((k, 3, at + len(head), at + len(head) + len(secret), at + len(head)))
+            found.append((i, 3, at + len(head), at + len(head) + len(secret), at + len(head)))
         at += len(text.encode())
         out.append(text)
     return out, found
@@ -331,10 +331,11 @@ def fit(texts: list[str], rounds: int = 160, rate: float = 0.5, l2: float = 1e-4
         if len(known) < 1000:
             known += [data[a:b].tobytes().decode() for _, _, _, b, a in found[:64] if b - a < 200]
         rows.extend(_sequences(t, _tags(t, found)))
-    made, found = planted(texts, known, rng)
-    data, offsets = buffers(pa.array(made, pa.large_string()))
-    t = tokenize(data, offsets)
-    rows.extend(_sequences(t, _tags(t, found + base_spans(data, offsets))))  # the words may hold matches of their own
+    for start in range(0, PLANTED_TEXTS, 64):
+        made, found = planted(texts, known, rng, range(start, min(start + 64, PLANTED_TEXTS)))
+        data, offsets = buffers(pa.array(made, pa.large_string()))
+        t = tokenize(data, offsets)
+        rows.extend(_sequences(t, _tags(t, found + base_spans(data, offsets))))  # the words may hold matches of their own
     marked = [r for r in rows if (r[1] != O).any()]
     marked = marked[:: -(-len(marked) // FIT_SEQUENCES)] if marked else marked
     plain = [r for r in rows if not (r[1] != O).any()]
