@@ -308,6 +308,19 @@ def _window_rows(anchor: np.ndarray, windows: np.ndarray, rows: np.ndarray) -> I
             at, used = cut, total[cut - 1]
 
 
+def _distinct(data: np.ndarray, start: np.ndarray, whole: np.ndarray, ids: np.ndarray, pick: np.ndarray) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray]]:
+    """Of the windows `pick` those that stand for all equal ones of one id, and the others beside theirs: texts that repeat themselves
+    have the same window many times over. Hashes name equals and bytes confirm them."""
+    order = pick[np.lexsort((ids[pick], whole[pick]))]
+    if not len(order):
+        return pick, (pick, pick)
+    new = np.r_[True, (whole[order[1:]] != whole[order[:-1]]) | (ids[order[1:]] != ids[order[:-1]])]
+    head = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
+    other = np.flatnonzero(~new)
+    new[other[~_same_bytes(data, start[order[other]], start[head[other]], LENGTH)]] = True
+    return np.sort(order[new]), (order[~new], head[~new])
+
+
 def _again(data: np.ndarray, begin: np.ndarray, windows: np.ndarray, anchor: np.ndarray, ids: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, first, last): runs of windows of `rows` that a row of smaller id has too.
 
@@ -326,6 +339,7 @@ def _again(data: np.ndarray, begin: np.ndarray, windows: np.ndarray, anchor: np.
     ranked = np.sort(whole)
     twice = np.unique(ranked[1:][ranked[1:] == ranked[:-1]])
     pick = np.flatnonzero(np.isin(whole, twice)) if len(twice) else np.zeros(0, np.int64)
+    pick, like = _distinct(local, start, whole, ids[rows][owner], pick)
     its = mix(prefix.grams(ANCHOR)) == np.repeat(anchor[rows], size)[: len(local) - ANCHOR + 1]
     grams = np.arange(len(its))
     following = np.minimum.accumulate(np.where(its, grams, len(local))[::-1])[::-1]
@@ -337,6 +351,7 @@ def _again(data: np.ndarray, begin: np.ndarray, windows: np.ndarray, anchor: np.
     segment = np.cumsum(np.r_[False, (g[1:] != g[:-1]) | (p[1:] != p[:-1])]) if len(g) else g
     repeated = np.zeros(len(start), bool)
     repeated[pick[order]] = repeated_windows(local, start[pick[order]], segment, ids[rows][owner[pick[order]]])
+    repeated[like[0]] = repeated[like[1]]
     hit = np.flatnonzero(repeated)
     if not len(hit):
         return hit, hit, hit
