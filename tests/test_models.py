@@ -120,6 +120,26 @@ def test_batches_count_only_when_committed(spark):
         recovery.replay(df, strict=True)
 
 
+@pytest.mark.parametrize("cell", [1, 3, 8, 1 << 16])
+def test_batches_are_followed_across_cells(spark, cell):
+    rng = random.Random(cell)
+    rows = [(log, seq, rng.choice([1, 1, 2, 3, 4]), b"%d" % n, b"v") for log in (0, 1, None) for n, seq in enumerate([None, None, *sorted(rng.choices(range(60), k=60)), (1 << 63) - 1])]
+    want = []
+    for log in (0, 1, None):
+        own = sorted((r for r in rows if r[0] == log), key=lambda r: (r[1] is not None, r[1] or 0, r[2]))
+        at = lambda r: -1 if r[1] is None else r[1]
+        for r in own:
+            upto = [m[2] for m in own if m[2] in (3, 4) and at(m) <= at(r)]
+            after = [m[2] for m in own if m[2] in (3, 4) and at(m) > at(r)]
+            if r[2] in (1, 2) and (upto[-1:] != [3] or after[:1] == [4]):
+                want.append(r[:3])
+    df = spark.createDataFrame(rows, "log int, seq long, type int, key binary, value binary")
+    got = [(r["log"], r["seq"], r["op"]) for r in recovery.committed(df, cell=cell).collect()]
+    key = lambda r: tuple((x is not None, x or 0) for x in r)
+    assert sorted(got, key=key) == sorted(want, key=key)
+    assert 0 < len(want) < sum(r[2] < 3 for r in rows)
+
+
 def test_segments_survive_a_round_trip_and_show_damage(spark, tmp_path):
     frames = b"".join(wal.encode(1, i, 5, b"k%d" % i, b"v" * i) for i in range(1, 6))
     (tmp_path / "wal_000000000001.log").write_bytes(frames)

@@ -9,22 +9,42 @@ from tidemark import schema as S
 from tidemark.operators import resolve
 
 
-def committed(records: DataFrame, log: str = "log") -> DataFrame:
+#: Sequence numbers of a cell, the part of a log that one window sees.
+CELL = 1 << 16
+
+
+def committed(records: DataFrame, log: str = "log", cell: int = CELL) -> DataFrame:
     """The puts and deletes of `records` (log, seq, type, key, value) that count: single ones, and those of batches with a commit.
 
     A batch opens at a start marker and closes at its commit; a start before that aborts the open batch, and a batch open at the
-    end is dropped. The window runs inside one log.
+    end is dropped. So a record counts unless the last marker up to its number is a start and the next one is no commit; markers of
+    one number stand after its records, the commit last. A null number comes first, null logs are one log.
+
+    Windows run inside cells of `cell` numbers of a log; the markers on both sides of a cell come from a table of one row a cell.
     """
-    w = Window.partitionBy(log).orderBy("seq")
-    kind = F.col("type")
-    marked = records.withColumn("batch", F.sum(F.when(kind == S.BATCH_START, 1).otherwise(0)).over(w)).withColumn(
-        "mark", F.max(F.when(kind.isin(S.BATCH_START, S.BATCH_COMMIT), F.struct("seq", "type"))).over(w)
+    own = records.select(log, "seq", "type", "key", "value", F.coalesce("seq", F.lit(-(1 << 63))).alias("__at"))
+    # A struct equals another with a null at the same place, so that the cells of a null log meet too.
+    numbered = own.withColumn("__cell", F.struct(F.col(log).alias("log"), F.expr(f"__at div {int(cell)}").alias("no")))
+    marker = F.when(F.col("type").isin(S.BATCH_START, S.BATCH_COMMIT), F.struct(F.col("__at").alias("at"), "type"))
+    of = lambda kind: F.when(F.col("type") == kind, F.col("__at"))
+    ends = numbered.groupBy("__cell").agg(*(f(of(k)).alias(n) for f, k, n in ((F.min, S.BATCH_START, "a"), (F.min, S.BATCH_COMMIT, "b"), (F.max, S.BATCH_START, "y"), (F.max, S.BATCH_COMMIT, "z"))))
+    first = F.when(F.col("a") <= F.coalesce("b", "a"), S.BATCH_START).when(F.col("b").isNotNull(), S.BATCH_COMMIT)
+    last = F.when(F.col("z") >= F.coalesce("y", "z"), S.BATCH_COMMIT).when(F.col("y").isNotNull(), S.BATCH_START)
+    in_log = Window.partitionBy("__cell.log").orderBy("__cell.no")
+    cells = ends.select("__cell", first.alias("__first"), last.alias("last")).select(
+        "__cell",
+        "__first",
+        F.last("last", ignorenulls=True).over(in_log.rowsBetween(Window.unboundedPreceding, -1)).alias("__before"),
+        F.expr("lead(__first) IGNORE NULLS OVER (PARTITION BY __cell.log ORDER BY __cell.no)").alias("__after"),
     )
-    marked = marked.withColumn("inside", F.col("mark.type") == S.BATCH_START)
-    done = Window.partitionBy(log, "batch")
-    marked = marked.withColumn("done", F.max((kind == S.BATCH_COMMIT) & (F.col("batch") > 0)).over(done))
-    keep = kind.isin(S.RECORD_PUT, S.RECORD_DELETE) & (~F.coalesce("inside", F.lit(False)) | F.col("done"))
-    return marked.filter(keep).select(log, "seq", F.col("type").alias("op"), "key", "value")
+    rows = numbered.withColumn("__marker", marker).withColumn("__next", F.expr("lead(__marker) IGNORE NULLS OVER (PARTITION BY __cell ORDER BY __at, type)"))
+    mark = F.when(F.col("__marker").isNotNull(), F.struct("__marker", "__next"))
+    rows = rows.withColumn("__mark", F.max(mark).over(Window.partitionBy("__cell").orderBy("__at"))).join(cells, "__cell")
+    alone = F.col("__mark").isNull()
+    before = F.when(alone, F.col("__before")).otherwise(F.col("__mark.__marker.type"))
+    after = F.coalesce(F.when(alone, F.col("__first")).otherwise(F.col("__mark.__next.type")), "__after")
+    counts = (F.coalesce(before, F.lit(S.BATCH_COMMIT)) != S.BATCH_START) | (F.coalesce(after, F.lit(S.BATCH_START)) == S.BATCH_COMMIT)
+    return rows.filter(F.col("type").isin(S.RECORD_PUT, S.RECORD_DELETE) & counts).select(log, "seq", F.col("type").alias("op"), "key", "value")
 
 
 def marker_problems(records: DataFrame, log: str = "log") -> DataFrame:
