@@ -20,7 +20,7 @@ WINDOW = 13
 #: Words of a shingle, the token that windows are joined by.
 SHINGLE = 5
 #: Benchmark text (bytes) that one pass over the documents holds in memory and broadcasts; more makes more passes.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 16 << 20
 
 RESULT = T.StructType(
     [
@@ -60,13 +60,16 @@ def _between(total: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarra
 
 
 class WindowIndex:
-    """The distinct windows of some benchmark items and the shingles in them."""
+    """The distinct windows of some benchmark items and the shingles in them, all in flat arrays: a window is a slice of the items'
+    words, which are held once."""
 
     def __init__(self, items: list[tuple[str | None, str | None]], window: int = WINDOW, shingle: int = SHINGLE) -> None:
         self.ids: list[str | None] = [i for i, _ in items]
-        found: dict[bytes, int] = {}
-        self.owners: list[set[int]] = []
-        lengths, fulls, widths, grams = [], [], [], []
+        texts: list[bytes] = []
+        parts: list[tuple[np.ndarray, ...]] = []
+        grams: dict[int, list[np.ndarray]] = {}
+        n_grams: dict[int, int] = {}
+        base = 0
         for at, (_, text) in enumerate(items):
             words = _words(text or "")
             if not words:
@@ -74,43 +77,79 @@ class WindowIndex:
             n = min(window, len(words))
             w = min(shingle, n)
             h = _hash_words(words)
-            shingles, total = gram_hashes(h, w), _running(h)
-            starts = np.arange(len(words) - n + 1)
-            full = _between(total, starts, starts + n)
-            for k in range(len(starts)):
-                key = b" ".join(words[k : k + n])
-                if key in found:
-                    self.owners[found[key]].add(at)
-                    continue
-                found[key] = len(self.owners)
-                self.owners.append({at})
-                lengths.append(n)
-                fulls.append(full[k])
-                widths.append(w)
-                grams.append(shingles[k : k + n - w + 1])
-        self.texts = list(found)
-        self.length, self.full, self.width = np.array(lengths, np.int64), np.array(fulls, np.uint64), np.array(widths, np.int64)
-        self.grams = grams
-        self.shingles = {int(w): np.unique(np.concatenate([g for g, x in zip(grams, widths, strict=True) if x == w])) for w in set(widths)}
+            shingles, total = gram_hashes(h, w)[: len(words) - w + 1], _running(h)
+            k = np.arange(len(words) - n + 1)
+            ends = np.cumsum([len(x) + 1 for x in words])
+            begins = np.r_[0, ends[:-1]]
+            each = lambda x, k=k: np.full(len(k), x, np.int32)
+            parts.append((_between(total, k, k + n), base + begins[k], base + ends[k + n - 1] - 1, each(n), each(w), each(at), n_grams.get(w, 0) + k))
+            grams.setdefault(w, []).append(shingles)
+            n_grams[w] = n_grams.get(w, 0) + len(shingles)
+            texts.append(b" ".join(words) + b" ")
+            base += len(texts[-1])
+        self.data = b"".join(texts)
+        none = (np.zeros(0, np.uint64), *(np.zeros(0, t) for t in (np.int64, np.int64, np.int32, np.int32, np.int32, np.int64)))
+        full, begin, stop, length, width, owner, gram = (np.concatenate(x) for x in zip(none, *parts, strict=True))
+        same = self._first_equal(full, begin, stop)
+        first, win = np.unique(same, return_inverse=True)
+        self.full, self.begin, self.stop, self.length, self.width, self._gram = full[first], begin[first], stop[first], length[first], width[first], gram[first]
+        pairs = np.unique(win * max(1, len(items)) + owner)
+        self.owner = (pairs % max(1, len(items))).astype(np.int32)
+        self.first_owner = np.searchsorted(pairs // max(1, len(items)), np.arange(len(first) + 1))
+        self.shingles: dict[int, np.ndarray] = {}
+        self._rows: dict[int, np.ndarray] = {}
+        for w, found in grams.items():
+            self.shingles[w], self._rows[w] = np.unique(np.concatenate(found), return_inverse=True)
         self.prefix: dict[int, tuple[np.ndarray, ...]] = {}
 
-    def choose(self, frequency: dict[int, np.ndarray]) -> None:
+    def _first_equal(self, full: np.ndarray, begin: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        """For each window the first one of the same words. Those of one hash whose words differ stay apart."""
+        order = np.lexsort((stop - begin, full))
+        f, n = full[order], (stop - begin)[order]
+        new = np.r_[True, (f[1:] != f[:-1]) | (n[1:] != n[:-1])][: len(f)]
+        head = order[np.maximum.accumulate(np.where(new, np.arange(len(f)), 0))]
+        out = np.empty(len(f), np.int64)
+        out[order] = head
+        for i in np.flatnonzero(out != np.arange(len(out))).tolist():
+            j = out[i]
+            if self.data[begin[i] : stop[i]] != self.data[begin[j] : stop[j]]:
+                out[i] = i
+        return out
+
+    @property
+    def texts(self) -> list[bytes]:
+        """The words of every window."""
+        return [self.text(v) for v in range(len(self.begin))]
+
+    def text(self, window: int) -> bytes:
+        return self.data[self.begin[window] : self.stop[window]]
+
+    def owners(self, window: int) -> list[int]:
+        return self.owner[self.first_owner[window] : self.first_owner[window + 1]].tolist()
+
+    def choose(self, frequency: dict[int, np.ndarray], step: int = 1 << 16) -> None:
         """Shingles in order of (documents that have it, hash): containment needs every shingle of a window, so its first one is a
         sufficient prefix. A window with a shingle that no document has can't occur and leaves the index."""
-        rows: dict[int, list[tuple[int, int, int]]] = {int(w): [] for w in self.shingles}
-        for win, (g, w) in enumerate(zip(self.grams, self.width.tolist(), strict=True)):
-            n = frequency[w][np.searchsorted(self.shingles[w], g)]
-            best = int(np.lexsort((g, n))[0])
-            if n[best]:
-                rows[w].append((int(g[best]), best, win))
-        for w, found in rows.items():
-            if found:
-                found.sort()
-                key, offset, win = zip(*found, strict=True)
-                # without a type, integers on both sides of 2**63 become rounded floats
-                keys, first, count = np.unique(np.array(key, np.uint64), return_index=True, return_counts=True)
-                self.prefix[w] = (keys, first, count, np.array(offset, np.int64), np.array(win, np.int64))
-        self.grams, self.shingles = [], {}
+        for w, shingles in self.shingles.items():
+            n = frequency[w]
+            rank = np.empty(len(n), np.int64)
+            rank[np.lexsort((shingles, n))] = np.arange(len(n))
+            found: list[tuple[np.ndarray, ...]] = []
+            for length in np.unique(self.length[self.width == w]).tolist():
+                wins = np.flatnonzero((self.width == w) & (self.length == length))
+                for at in range(0, len(wins), step):
+                    some = wins[at : at + step]
+                    rows = self._rows[w][self._gram[some][:, None] + np.arange(length - w + 1)]
+                    best = np.argmin(rank[rows], axis=1)
+                    row = rows[np.arange(len(some)), best]
+                    seen = n[row] > 0
+                    found.append((shingles[row[seen]], best[seen], some[seen]))
+            key, offset, win = (np.concatenate(x) for x in zip(*found, strict=True))
+            if len(key):
+                order = np.lexsort((win, offset, key))
+                keys, first, count = np.unique(key[order], return_index=True, return_counts=True)
+                self.prefix[w] = (keys, first, count, offset[order].astype(np.int32), win[order])
+        self._rows, self.shingles, self._gram = {}, {}, np.zeros(0, np.int64)
 
 
 def _known(h: np.ndarray, keys: np.ndarray, bitmap: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -195,10 +234,10 @@ def find_windows(index: WindowIndex, texts: pa.Array) -> tuple[_Prepared, np.nda
         same = _between(total, start, end) == index.full[win_of]
         for a, b, v, d in zip(start[same].tolist(), end[same].tolist(), win_of[same].tolist(), doc[same].tolist(), strict=True):
             words = [p.low[x:y].tobytes() for x, y in zip(p.starts[a:b].tolist(), p.ends[a:b].tolist(), strict=True)]
-            if b" ".join(words) == index.texts[v]:
+            if b" ".join(words) == index.text(v):
                 change[a] += 1
                 change[b] -= 1
-                items[d] |= index.owners[v]
+                items[d].update(index.owners(v))
     return p, np.cumsum(change[:-1]) > 0, items
 
 
@@ -301,7 +340,7 @@ def find_contamination(
             return lambda texts: _result(index, texts)
 
         name = scratch.free_name(current, f"{out}_{len(parts)}")
-        current = map_text(current, text_column, name, RESULT, make, None if after else [*kept, *parts])
+        current = map_text(current, text_column, name, RESULT, make, [*kept, *parts, *([text_column] if after else [])])
         if after:
             current = scratch.table(current, "contamination")
         parts.append(name)
