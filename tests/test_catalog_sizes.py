@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import random
 from collections import Counter
 
 import duckdb
 
+from tidemark.operators import compaction
 from tidemark.plans import catalog_ops
 
 
@@ -32,3 +34,20 @@ def test_orphans_of_seven_digits(spark, tmp_path):
     got = same_as_sql(spark, tmp_path, "orphan_files", part="SELECT i AS p_partkey FROM range(999_900, 1_000_300) t(i)", orders=orders)
     # 1000000.sst is no file of the manifest, though 100000.sst is one.
     assert got["table", "100000.sst"] == 5
+
+
+def test_memtables_whose_bytes_meet_the_limit_exactly(spark):
+    rng = random.Random(5)
+    rows, want = [], Counter()
+    for log in range(30):
+        sizes = [rng.randrange(20, 60) for _ in range(500)]
+        left = 60_000 - sum(104 + n for n in sizes[:360]) - 360 * 32 // 3
+        sizes[360:363] = [20, 20, left - 3 * 104 - 32 - 40]  # 363 rows are 60,000 bytes
+        used = 0
+        for seq, n in enumerate(sizes):
+            rows.append((log, seq, b"k" * 8, b"v" * n))
+            want[log, used // 60_000] += 1
+            used += 3 * (104 + n) + 32
+    df = spark.createDataFrame(rows, "log long, seq long, key binary, value binary")
+    got = {(r["log"], r["memtable"]): r["rows"] for r in compaction.frozen_after(df, 20_000).collect()}
+    assert got == want

@@ -78,13 +78,21 @@ def memory_estimate(height: Column | float = 4 / 3) -> Column:
     return F.lit(NODE_BYTES) + F.octet_length("key") + POINTER_BYTES * F.lit(height) + VALUE_BYTES + F.coalesce(F.octet_length("value"), F.lit(0))
 
 
+def memory_thirds() -> Column:
+    """Three times the memory estimate of a row, a whole number."""
+    whole = F.lit(NODE_BYTES + VALUE_BYTES).cast("long") + F.octet_length("key") + F.coalesce(F.octet_length("value"), F.lit(0))
+    return 3 * whole + 4 * POINTER_BYTES
+
+
 def frozen_after(rows: DataFrame, limit: int = S.MEMTABLE_BYTES, group: str = "log") -> DataFrame:
-    """(log, memtable, rows, bytes): a memtable is frozen when its bytes reach the limit; by running sums inside a log."""
+    """(log, memtable, rows, bytes): a memtable is frozen when its bytes reach the limit; by running sums inside a log.
 
+    The sums are of whole numbers, thirds of a byte: sums of doubles miss a limit that is met exactly, by the order they are added in.
+    """
     w = Window.partitionBy(group).orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    sized = rows.withColumn("bytes", memory_estimate())
-    placed = sized.withColumn("memtable", F.floor(F.coalesce(F.sum("bytes").over(w), F.lit(0.0)) / limit))
-    return placed.groupBy(group, "memtable").agg(F.count(F.lit(1)).alias("rows"), F.round(F.sum("bytes"), 3).alias("bytes"))
+    sized = rows.withColumn("thirds", memory_thirds())
+    placed = sized.withColumn("before", F.coalesce(F.sum("thirds").over(w), F.lit(0))).withColumn("memtable", F.expr(f"before div {3 * limit}"))
+    return placed.groupBy(group, "memtable").agg(F.count(F.lit(1)).alias("rows"), F.round(F.sum("thirds") / 3, 3).alias("bytes"))
 
 
 def journal_stats(journal: DataFrame) -> DataFrame:
