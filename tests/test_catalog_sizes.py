@@ -6,9 +6,11 @@ import random
 from collections import Counter
 
 import duckdb
+import pyarrow as pa
 
 from tidemark.operators import compaction
 from tidemark.plans import catalog_ops
+from tidemark.sources import wal
 
 
 def same_as_sql(spark, folder, name, **tables):
@@ -51,3 +53,21 @@ def test_memtables_whose_bytes_meet_the_limit_exactly(spark):
     df = spark.createDataFrame(rows, "log long, seq long, key binary, value binary")
     got = {(r["log"], r["memtable"]): r["rows"] for r in compaction.frozen_after(df, 20_000).collect()}
     assert got == want
+
+
+def test_a_worker_holds_one_batch_of_segments_and_few_records():
+    content = b"".join(wal.encode(1, i, 5, b"k%d" % i, b"v" * 1_000) for i in range(2_500))
+    most = [0]
+
+    def batches():
+        for n in range(4):
+            most[0] = max(most[0], pa.total_allocated_bytes() - before)
+            yield pa.RecordBatch.from_pydict({"segment": pa.array([2 * n, 2 * n + 1]), "content": pa.array([content, content], pa.binary())})
+
+    before, seen = pa.total_allocated_bytes(), []
+    for out in wal.record_batches(batches()):
+        assert out.num_rows <= 1_000
+        seen += zip(out["segment"].to_pylist(), out["pos"].to_pylist(), out["seq"].to_pylist(), out["status"].to_pylist(), strict=True)
+        del out
+    assert seen == [(s, i, i, "ok") for s in range(8) for i in range(2_500)]
+    assert most[0] < len(content)
